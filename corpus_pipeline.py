@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from manifolder.llm import mixing, packing, simhash
+from manifolder.llm import mixing, packing, simhash, toxicity
 from manifolder.llm.runtime import Workspace, read_table
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the scorer, trained on ``labels``, rejects go."""
+    return toxicity.keep_clean(docs, toxicity.fit(spark, docs, read_table(spark, sf_dir, "labels")))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: that of the smallest doc_id."""
     return simhash.keep_representatives(spark, docs)
@@ -26,7 +31,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
-STAGES = [("simhash near-dedup", near_dedup), ("mixing sources", mix), ("best-fit packing", pack)]
+STAGES = [("toxicity", drop_toxic), ("simhash near-dedup", near_dedup), ("mixing sources", mix), ("best-fit packing", pack)]
 
 #: Tokenizer output and a trained scorer aren't expressible in SQL.
 ORACLE_SQL = None
