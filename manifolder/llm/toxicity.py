@@ -130,16 +130,24 @@ def _decay(model_scores: dict[str, float], clean_share: dict[str, float], drift:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, ...]:
-    """Newton's method for a ridge-penalised logistic fit; weights of features are kept from falling below 0."""
-    x = np.column_stack([np.ones(len(x)), x])
-    w = np.zeros(x.shape[1])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
-        w = w + step
-        if np.abs(step).max() < 1e-8:
+    """A ridge-penalised logistic fit by Newton's method; features that would count against evidence are left out."""
+    used = list(range(x.shape[1]))
+    while True:
+        z = np.column_stack([np.ones(len(x)), x[:, used]])
+        w = np.zeros(z.shape[1])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w)), z.T @ (y - p) - ridge * w)
+            w = w + step
+            if np.abs(step).max() < 1e-8:
+                break
+        worst = int(np.argmin(w[1:])) if used else 0
+        if not used or w[1 + worst] >= 0:
             break
-    return (float(w[0]), *(float(max(0.0, v)) for v in w[1:]))
+        del used[worst]
+    out = np.zeros(x.shape[1] + 1)
+    out[[0, *(k + 1 for k in used)]] = w
+    return tuple(map(float, out))
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = 20_000, folds: int = 5, least_documents: int = 4, caution: float = 3.0, prior: float = 0.5, drift: float = 0.05, level: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> Model:
