@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from manifolder.llm import lm_score, media, mixing, packing, simhash, token_store, topk, toxicity, url_rules, warc
+from manifolder.llm import lm_score, media, mixing, packing, simhash, sql, token_store, topk, toxicity, url_rules, warc
 from manifolder.llm.runtime import read_table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -68,4 +68,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_stupid_backoff, op2_token_store, op3_simhash, op4_url_rules, op5_toxicity, op6_best_fit_packing, op7_mixing, op8_media, op9_top_k, op10_warc)}
 
-SQL: dict[str, str] = {}
+#: The others need hashes, tokenizers, trained models or media codecs that SQL lacks; mixing rounds rates step by step.
+SQL = {"op1_stupid_backoff": sql.STUPID_BACKOFF, "op4_url_rules": sql.URL_RULES, "op9_top_k": sql.TOP_K, "op10_warc": sql.WARC}

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from manifolder.llm.runtime import parts_for, text_bytes
+from manifolder.llm.runtime import WORD, parts_for
 
 #: Text bytes in a batch of documents, and n-grams in a hash partition.
 _BATCH_BYTES = 12_000_000
@@ -92,7 +92,7 @@ def _bounds(parts: int) -> np.ndarray:
 
 
 _REQUEST = "part int, batch long, n int, grams binary, counts binary"
-_ANSWER = "batch long, part int, n int, counts binary, words long"
+_ANSWER = "batch long, part int, n int, counts binary"
 
 
 def _requests(order: int, parts: int):
@@ -118,7 +118,7 @@ def _count(least: int):
         """Totals of one partition; n-grams of two or more words below ``least`` count as unseen."""
         part = table.column("part")[0].as_py()
         asked = table.column("n").to_numpy()
-        out, words = [], 0
+        out = []
         for n in sorted(set(asked.tolist())):
             rows = np.flatnonzero(asked == n).tolist()
             grams = [_unpack(table.column("grams")[k].as_py()) for k in rows]
@@ -126,15 +126,13 @@ def _count(least: int):
             unique, inverse = np.unique(np.concatenate(grams), return_inverse=True)
             totals = np.zeros(len(unique), np.int64)
             np.add.at(totals, inverse, np.concatenate(counts))
-            if n == 0:
-                words = int(totals.sum())
-            else:
+            if n:
                 totals[totals < least] = 0
             ends = np.cumsum([len(g) for g in grams]).tolist()
             for k, a, b in zip(rows, [0, *ends[:-1]], ends):
-                out.append((table.column("batch")[k].as_py(), part, n, _pack_counts(totals[inverse[a:b]]), words if n == 0 else 0))
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64()]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["batch", "part", "n", "counts", "words"])
+                out.append((table.column("batch")[k].as_py(), part, n, _pack_counts(totals[inverse[a:b]])))
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["batch", "part", "n", "counts"])
 
     return run
 
@@ -159,11 +157,10 @@ def backoff_micronats(found: list[np.ndarray], words: int, discount: float) -> n
     return -np.floor(score * 1e6 + 0.5).astype(np.int64)
 
 
-def _score(order: int, discount: float, id_type: pa.DataType):
+def _score(order: int, discount: float, words: int, id_type: pa.DataType):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         batch = Batch(docs.column("text").to_pylist(), order)
         parts, orders = answers.column("part").to_numpy(), answers.column("n").to_numpy()
-        words = int(np.sum(answers.column("words").to_numpy())) if len(answers) else 0
         found = []
         for n in range(order):
             rows = np.flatnonzero(orders == n)
@@ -194,11 +191,11 @@ def stupid_backoff(spark: SparkSession, docs: DataFrame, order: int = 3, discoun
     words and cost 0.  Rows that repeat an id are scored each on their own,
     and repeated texts count as often as they occur.
     """
-    size = text_bytes(docs, text_col)
+    text = F.col(text_col).cast("string")
+    size, words = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)), F.coalesce(F.sum(F.regexp_count(text, F.lit(WORD))), F.lit(0))).first()
     batches = parts_for(size, _BATCH_BYTES)
     # As many hash partitions as keep one in bounds, for each order of n-grams.
     parts = parts_for(size * order, _PARTITION_BYTES * 2)
-    text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.pmod(F.xxhash64(F.col(id_col), text), F.lit(batches)).alias("batch"))
     requests = rows.select("text", "batch").groupBy("batch").applyInArrow(_requests(order, parts), _REQUEST)
     answers = requests.groupBy("part").applyInArrow(_count(min_count), _ANSWER)
@@ -206,4 +203,4 @@ def stupid_backoff(spark: SparkSession, docs: DataFrame, order: int = 3, discoun
     from pyspark.sql.pandas.types import to_arrow_type
 
     scored = rows.groupBy("batch").cogroup(answers.groupBy("batch"))
-    return scored.applyInArrow(_score(order, discount, to_arrow_type(id_field)), f"doc_id {id_field.simpleString()}, n_words long, cost_micronats long")
+    return scored.applyInArrow(_score(order, discount, words, to_arrow_type(id_field)), f"doc_id {id_field.simpleString()}, n_words long, cost_micronats long")
