@@ -1,12 +1,13 @@
 """Stupid-backoff scores of documents under n-gram counts of their own corpus.
 
 Relations: ``requests`` has, for each batch of documents and hash partition,
-the distinct n-grams of the batch; ``counts`` sums them in each hash partition
-and answers every batch in the order it asked; the answers are joined to the
-exploded n-grams of the batch and summed for each document.  N-grams travel
-once for each batch as sorted 64-bit hashes, so a frequent word is one entry
-for each batch, not one for each occurrence, and no hash partition grows with
-how often a key occurs.
+the distinct n-grams of the batch; ``answers`` sums them in each hash
+partition and replies to every batch in the order it asked; the replies are
+joined to the exploded n-grams of the batch and summed for each document.
+N-grams travel once for each batch as sorted 64-bit hashes, so a frequent word
+is one entry for each batch, not one for each occurrence, and no hash
+partition grows with how often a key occurs.  Of three words on, only n-grams
+both of whose parts reached the minimum count are asked for: no other can.
 """
 
 from __future__ import annotations
@@ -41,28 +42,33 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Batch:
-    """Hashes of the n-grams of a batch, by order, where they end and whether they exist there."""
+    """Words of a batch of documents as hashes, and its n-grams by order."""
 
-    def __init__(self, texts: list[str | None], order: int):
+    def __init__(self, texts: list[str | None]):
         words = [words_of(t) for t in texts]
         self.sizes = np.fromiter(map(len, words), np.int64, len(words))
         self.n = int(self.sizes.sum())
         digest = xxhash.xxh3_64_intdigest
-        flat = np.fromiter((digest(w) for ws in words for w in ws), np.uint64, self.n)
-        starts = np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
-        self.place = np.arange(self.n) - starts  # of each word in its document
-        self.grams, self.unique, self.inverse, self.counts = [flat], [], [], []
-        for n in range(2, order + 1):
-            longer = _mix(self.grams[-1][:-1], flat[n - 1 :]) if self.n >= n else flat[:0]
-            self.grams.append(longer)  # entry i: words i .. i + n - 1
-        for n, grams in enumerate(self.grams, 1):
-            inside = self.place[n - 1 :] >= n - 1 if self.n >= n else np.zeros(0, bool)
-            unique, inverse, counts = np.unique(grams[inside], return_inverse=True, return_counts=True)
-            at = np.full(self.n, -1, np.int64)
-            at[np.flatnonzero(inside) + n - 1] = inverse
-            self.unique.append(unique)
-            self.inverse.append(at)  # by the position of the last word, -1 where the n-gram would start before the document
-            self.counts.append(counts)
+        self.words = np.fromiter((digest(w) for ws in words for w in ws), np.uint64, self.n)
+        self.place = np.arange(self.n) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)  # in its document
+        self.grams = self.words  # by the place of the last word
+        self.order = 1
+
+    def level(self, n: int, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(places of the last words, distinct n-grams, place in these for each, counts), orders ascending.
+
+        ``before`` has counts of the (n - 1)-grams.  Of three or more words,
+        only n-grams whose both parts are in the tables can be in them, and
+        only these are looked up.
+        """
+        while self.order < n:
+            self.grams = _mix(np.concatenate([self.grams[:1], self.grams[:-1]]), self.words)
+            self.order += 1
+        inside = self.place >= n - 1
+        if n > 2:
+            inside &= (before > 0) & (np.concatenate([before[:1], before[:-1]]) > 0)
+        at = np.flatnonzero(inside)
+        return at, *np.unique(self.grams[at], return_inverse=True, return_counts=True)
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -95,20 +101,55 @@ _REQUEST = "part int, batch long, n int, grams binary, counts binary"
 _ANSWER = "batch long, part int, n int, counts binary"
 
 
-def _requests(order: int, parts: int):
+def _asked(batch_id: int, n: int, unique: np.ndarray, counts: np.ndarray, parts: int) -> list[tuple]:
+    cuts = np.append(np.searchsorted(unique, _bounds(parts)), len(unique)).tolist()
+    return [(part, batch_id, n, _pack(unique[a:b]), _pack_counts(counts[a:b])) for part, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+
+
+def _request_table(rows: list[tuple]) -> pa.Table:
+    types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+    columns = list(zip(*rows)) or [[]] * 5
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["part", "batch", "n", "grams", "counts"])
+
+
+def _first_requests(orders: int, parts: int):
+    """Single words and pairs of a batch."""
+
     def run(table: pa.Table) -> pa.Table:
-        batch_id = table.column("batch")[0].as_py()
-        batch = Batch(table.column("text").to_pylist(), order)
-        rows = []
-        for n in range(order):
-            cuts = np.append(np.searchsorted(batch.unique[n], _bounds(parts)), len(batch.unique[n]))
-            for part in range(parts):
-                a, b = cuts[part], cuts[part + 1]
-                if a < b:
-                    rows.append((part, batch_id, n, _pack(batch.unique[n][a:b]), _pack_counts(batch.counts[n][a:b])))
-        types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-        columns = list(zip(*rows)) or [[]] * 5
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["part", "batch", "n", "grams", "counts"])
+        batch, rows = Batch(table.column("text").to_pylist()), []
+        for n in range(1, orders + 1):
+            _, unique, _, counts = batch.level(n, None)
+            rows += _asked(table.column("batch")[0].as_py(), n, unique, counts, parts)
+        return _request_table(rows)
+
+    return run
+
+
+def _found(batch: Batch, answers: pa.Table, orders: int) -> list[np.ndarray]:
+    """Counts by order for the n-gram that ends at each word; 0 if unseen, -1 if it would start before the document."""
+    parts, asked, found = answers.column("part").to_numpy(), answers.column("n").to_numpy(), []
+    for n in range(1, orders + 1):
+        at, _, inverse, _ = batch.level(n, found[-1] if found else None)
+        rows = np.flatnonzero(asked == n)
+        rows = rows[np.argsort(parts[rows], kind="stable")].tolist()
+        counts = [_unpack_counts(answers.column("counts")[k].as_py()) for k in rows]
+        values = np.where(batch.place >= n - 1, 0, -1)
+        if counts:
+            values[at] = np.concatenate(counts)[inverse]
+        found.append(values)
+    return found
+
+
+def _next_requests(n: int, parts: int):
+    """N-grams of ``n`` words whose parts are in the tables."""
+
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        if not len(docs):
+            return _request_table([])
+        batch = Batch(docs.column("text").to_pylist())
+        found = _found(batch, answers, n - 1)
+        _, unique, _, counts = batch.level(n, found[-1])
+        return _request_table(_asked(docs.column("batch")[0].as_py(), n, unique, counts, parts))
 
     return run
 
@@ -126,7 +167,7 @@ def _count(least: int):
             unique, inverse = np.unique(np.concatenate(grams), return_inverse=True)
             totals = np.zeros(len(unique), np.int64)
             np.add.at(totals, inverse, np.concatenate(counts))
-            if n:
+            if n > 1:
                 totals[totals < least] = 0
             ends = np.cumsum([len(g) for g in grams]).tolist()
             for k, a, b in zip(rows, [0, *ends[:-1]], ends):
@@ -159,15 +200,8 @@ def backoff_micronats(found: list[np.ndarray], words: int, discount: float) -> n
 
 def _score(order: int, discount: float, words: int, id_type: pa.DataType):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        batch = Batch(docs.column("text").to_pylist(), order)
-        parts, orders = answers.column("part").to_numpy(), answers.column("n").to_numpy()
-        found = []
-        for n in range(order):
-            rows = np.flatnonzero(orders == n)
-            rows = rows[np.argsort(parts[rows], kind="stable")].tolist()
-            counts = [_unpack_counts(answers.column("counts")[k].as_py()) for k in rows]
-            counts = np.concatenate([*counts, np.array([-1])])  # the last is for inverse -1
-            found.append(counts[batch.inverse[n]])
+        batch = Batch(docs.column("text").to_pylist())
+        found = _found(batch, answers, order)
         cost = backoff_micronats(found, words, discount)
         ends = np.cumsum(batch.sizes)
         sums = np.concatenate([[0], np.cumsum(cost)])
@@ -197,10 +231,15 @@ def stupid_backoff(spark: SparkSession, docs: DataFrame, order: int = 3, discoun
     # As many hash partitions as keep one in bounds, for each order of n-grams.
     parts = parts_for(size * order, _PARTITION_BYTES * 2)
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.pmod(F.xxhash64(F.col(id_col), text), F.lit(batches)).alias("batch"))
-    requests = rows.select("text", "batch").groupBy("batch").applyInArrow(_requests(order, parts), _REQUEST)
+    # All passes group the same rows, so Spark deals the texts out once.
+    by_batch = rows.groupBy("batch")
+    requests = by_batch.applyInArrow(_first_requests(min(order, 2), parts), _REQUEST)
     answers = requests.groupBy("part").applyInArrow(_count(min_count), _ANSWER)
+    for n in range(3, order + 1):
+        requests = by_batch.cogroup(answers.groupBy("batch")).applyInArrow(_next_requests(n, parts), _REQUEST)
+        answers = answers.unionByName(requests.groupBy("part").applyInArrow(_count(min_count), _ANSWER))
     id_field = rows.schema["id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
-    scored = rows.groupBy("batch").cogroup(answers.groupBy("batch"))
+    scored = by_batch.cogroup(answers.groupBy("batch"))
     return scored.applyInArrow(_score(order, discount, words, to_arrow_type(id_field)), f"doc_id {id_field.simpleString()}, n_words long, cost_micronats long")
