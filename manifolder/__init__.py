@@ -1,0 +1 @@
+"""Neighbour graphs, force layouts and their evaluation on Spark DataFrames."""

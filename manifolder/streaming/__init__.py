@@ -1,0 +1 @@
+"""No streaming operators: graph building and layout need whole tables."""
