@@ -25,6 +25,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: White space but for spaces and line feeds.
 _ODD = re.compile(r"[^\S \n]")
+_ODD_ASCII = re.compile("[\t\x0b\x0c\r\x1c-\x1f]")
 _TORN = False
 
 
@@ -46,7 +47,7 @@ class Encoder:
         self._most = cached_words
         self._tables: dict[str, dict[str, bytes | bool]] = {" ": {}, "": {}}
         self._old: dict[str, dict[str, bytes | bool]] = {" ": {}, "": {}}
-        self._newline = self.encode_whole("\n")
+        self._parts = {mark: self.encode_whole(mark) for mark in "\n,.;:!?"}
 
     def encode_whole(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -89,28 +90,32 @@ class Encoder:
         if len(table) > self._most:
             self._old[prefix], table = table, {}
             self._tables[prefix] = table
-        values, old = list(map(table.get, words)), self._old[prefix]
-        plain, lines = [], []
+        values, old, encoded = list(map(table.get, words)), self._old[prefix], self._parts
+        plain, halves = [], []
         for k in [k for k, v in enumerate(values) if v is None]:
             word = words[k]
             if (kept := old.get(word)) is not None:
                 values[k] = table[word] = kept
                 continue
+            if word[-1:] in encoded and word[:-1].isalpha():  # a mark after letters is a token of its own
+                halves.append((k, word[:-1], word[-1], None))
+                continue
             at = word.find("\n")
-            if _ODD.search(word) or prefix and (not word or at == 0):
+            if prefix and (not word or at == 0) or not word.isascii() and _ODD.search(word) or _ODD_ASCII.search(word):
                 values[k] = table[word] = _TORN
             elif 0 < at < len(word) - 1 and word.find("\n", at + 1) < 0:
-                lines.append((k, word[:at], word[at + 1 :]))  # two words at a line's end, not kept
+                halves.append((k, word[:at], "\n", word[at + 1 :]))  # two words at a line's end
             else:
                 plain.append(k)
         for k, done in zip(plain, self._tokenizer.encode_batch_fast([prefix + words[k] for k in plain], add_special_tokens=False)):
             values[k] = np.array(done.ids, "<u4").tobytes()
             if len(words[k]) <= 64:
                 table[words[k]] = values[k]
-        if lines:
-            heads, tails = self._values([x[1] for x in lines], prefix), self._values([x[2] for x in lines], "")
-            for (k, _, _), head, tail in zip(lines, heads, tails):
-                values[k] = head + self._newline + tail
+        if halves:
+            heads = self._values([x[1] for x in halves], prefix)
+            tails = iter(self._values([x[3] for x in halves if x[3] is not None], ""))
+            for (k, _, mark, tail), head in zip(halves, heads):
+                values[k] = head + encoded[mark] + (b"" if tail is None else next(tails))
         return values
 
 
