@@ -114,6 +114,11 @@ def partial_scores(queries: np.ndarray, candidates: np.ndarray, slices: int) ->
     return out
 
 
+def _clipped(scores: np.ndarray) -> np.ndarray:
+    """Exact scores within 64 bits."""
+    return np.clip(scores, *_INT64).astype(np.int64) if scores.dtype == object else scores
+
+
 def _best(keys: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """Places of the k highest scores, ties to the smaller key."""
     if len(keys) > 4 * k and scores.dtype != object:
@@ -128,7 +133,7 @@ def _best(keys: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 def _rows(found: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     q = np.repeat([f[0] for f in found], [len(f[1]) for f in found]) if found else []
     keys = np.concatenate([f[1] for f in found]) if found else []
-    scores = [max(_INT64[0], min(_INT64[1], int(s))) for f in found for s in f[2]]
+    scores = np.concatenate([f[2] for f in found]) if found else []
     return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(keys, pa.int64()), pa.array(scores, pa.int64())], names=["query_id", "vec_id", "score"])
 
 
@@ -139,7 +144,7 @@ def _phase_one(k: int, slices: int):
                 q_ids, q = _unpacked(row["q_ids"], row["q_data"], row["q_wide"], row["q_exact"])
                 c_ids, c = _unpacked(row["ids"], row["data"], row["wide"], row["exact"])
                 parts = partial_scores(q, c, slices)
-                total = sum(parts)
+                total = _clipped(sum(parts))
                 found = []
                 for i, query in enumerate(q_ids):
                     other = np.flatnonzero(c_ids != query)
@@ -170,7 +175,7 @@ def _phases_two_and_three(k: int, slices: int):
                             reach |= p[i] >= share
                         keep &= reach.astype(bool)
                     collected = np.flatnonzero(keep)
-                    score = sum(p[i, collected] for p in parts)
+                    score = _clipped(sum(p[i, collected] for p in parts))
                     if cutoff is not None:
                         enough = np.asarray(score >= cutoff, bool)
                         collected, score = collected[enough], score[enough]
@@ -189,7 +194,7 @@ def top_k(spark: SparkSession, vectors: DataFrame, every: int = 100, k: int = 5,
     have null or non-finite components, take no part; shorter vectors end in
     zeros.  Rows that repeat an id are one query or candidate each: a
     candidate is listed once for each of its rows, and a query once, with the
-    first of its rows by components.  Scores beyond 64 bits stop at its ends.
+    first of its rows by components.  Scores beyond 64 bits stop at its ends, where they tie.
     Queries with no other vector have no rows.
     """
     ws = Workspace(spark, "topk")

@@ -130,7 +130,7 @@ def _writer(uri: str, dictionary: bytes, level: int):
         pack, out, n = zdict.compressor(dictionary, level), None, 0
         for batch in batches:
             if out is None and batch.num_rows:
-                out = fs.open_output_stream(path)
+                out = fs.open_output_stream(path, compression=None)
                 out.write(dictionary_frame(dictionary))
             for at in range(0, batch.num_rows, 256):
                 for r in batch.slice(at, 256).to_pylist():
@@ -178,7 +178,7 @@ def read_archives(spark: SparkSession, uri: str, archives: DataFrame, id_type: s
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 rows = []
-                with fs.open_input_stream(path) as f:
+                with fs.open_input_stream(path, compression=None) as f:
                     for data in split_archive(f):
                         rows.append(_row(data))
                         if len(rows) == 256:
