@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from manifolder.llm.runtime import Workspace
+
 _TOKEN = re.compile(r"\w+")
 _EULER = 0.5772156649015329
 
@@ -76,9 +78,16 @@ def _excess(model: Model, n: int, score: float) -> float:
     return model.decay * score - math.log(max(n, 1)) - model.location
 
 
-def _features(model: Model, n: int, segments: list[tuple[int, int, float]], level: float) -> tuple[float, float]:
-    over = [x for x in (_excess(model, n, s) for _, _, s in segments) if x > level]
-    return math.log1p(max([0.0, *(model.decay * s for _, _, s in segments)])), math.log1p(sum(over) - level * len(over))
+def _features(model: Model, n: int, scores: list[float], level: float) -> tuple[float, float]:
+    """Of the highest segment score and of the sum of all that are significant."""
+    over = [x for x in (_excess(model, n, s) for s in scores) if x > level]
+    return math.log1p(max([0.0, *(model.decay * s for s in scores)])), math.log1p(sum(over) - level * len(over))
+
+
+def judged(model: Model, text: str | None, level: float) -> tuple[float, int, list[tuple[int, int, float]]]:
+    """Probability of a text, its tokens and its segments."""
+    n, segments = _found(model, text)
+    return probability(model, _features(model, n, [s for _, _, s in segments], level)), n, segments
 
 
 def probability(model: Model, features: tuple[float, ...]) -> float:
@@ -95,8 +104,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int, folds: int = 5,
     """(text, toxic): at most ``most`` labelled documents outside the held-out fold, in hash order of ids."""
     known = labels.where(F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = known.where(~held_out("_id", folds))
-    ids = docs.select(F.col(id_col).alias("_id")).join(known, "_id").orderBy(F.xxhash64("_id"), "_id").limit(most)
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(ids, "_id").where("text is not null").select("text", "toxic")
+    ids = docs.select(F.col(id_col).alias("_id")).join(known, "_id").distinct().orderBy(F.xxhash64("_id"), "_id").limit(most)
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    return texts.join(F.broadcast(ids), "_id").select("text", "toxic")  # ``most`` bounds what is broadcast
 
 
 def _token_documents(batches):
@@ -113,6 +123,18 @@ def _token_documents(batches):
         yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(c, pa.int64()), pa.array(x, pa.int64())], names=["token", "clean", "toxic"])
 
 
+def _scan(model: Model):
+    """Tokens, class and segment scores of training documents."""
+
+    def run(batches):
+        for batch in batches:
+            found = [_found(model, t) for t in batch.column(0).to_pylist()]
+            arrays = [pa.array([n for n, _ in found], pa.int32()), batch.column(1), pa.array([[s for _, _, s in segments] for _, segments in found], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["n", "toxic", "scores"])
+
+    return run
+
+
 def _decay(model_scores: dict[str, float], clean_share: dict[str, float], drift: float) -> float:
     """The positive root of sum(share * exp(decay * score)) = 1 over tokens of clean text."""
     rest = 1 - sum(clean_share.values())
@@ -159,7 +181,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = 20_
     deviations.  Without labels of both classes the model scores every text
     below one half.
     """
-    rows = training_rows(docs, labels, most, folds, id_col, text_col).dropDuplicates(["text"])
+    sample = training_rows(docs, labels, most, folds, id_col, text_col)
+    rows = Workspace(spark, "toxicity").table(sample.groupBy("text").agg(F.max("toxic").alias("toxic")), "training")
     counts = rows.mapInArrow(_token_documents, "token string, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     found = {t: (c, x) for t, c, x in counts.where((F.col("token") == "") | (F.col("clean") + F.col("toxic") >= least_documents)).collect()}
     n_clean, n_toxic = found.pop("", (0, 0))
@@ -171,18 +194,16 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = 20_
         spread = math.sqrt(1 / (toxic + prior) + 1 / (clean + prior) + 1 / (n_toxic - toxic + prior) + 1 / (n_clean - clean + prior))
         if abs(odds) > caution * spread:
             scores[token] = math.copysign(abs(odds) - caution * spread, odds)
-    sample = [(x, y) for x, y in rows.select("text", "toxic").toLocalIterator()]
     bare = Model(scores, drift)
-    lengths = [len(_TOKEN.findall(x.lower())) for x, y in sample if not y]
-    mean = max(1.0, float(np.mean(lengths)))
+    scanned = rows.mapInArrow(_scan(bare), "n int, toxic int, scores array<double>").collect()
+    mean = max(1.0, float(np.mean([r.n for r in scanned if not r.toxic])))
     share = {t: (found[t][0] + prior) / (n_clean + 1) / mean for t in scores}
     decay = _decay(scores, share, drift)
-    scanned = [(y, *_found(bare, x)) for x, y in sample]
-    peaks = [decay * max(s for _, _, s in segments) - math.log(max(n, 1)) for y, n, segments in scanned if not y and segments]
+    peaks = [decay * max(r.scores) - math.log(max(r.n, 1)) for r in scanned if not r.toxic and r.scores]
     location = float(np.mean(peaks)) - _EULER if peaks else 0.0
     model = Model(scores, drift, decay, location)
-    x = np.array([_features(model, n, segments, level) for _, n, segments in scanned])
-    weights = _logistic(x, np.array([y for y, _, _ in scanned], float))
+    x = np.array([_features(model, r.n, r.scores, level) for r in scanned])
+    weights = _logistic(x, np.array([r.toxic for r in scanned], float))
     return Model(scores, drift, decay, location, weights)
 
 
@@ -202,8 +223,8 @@ def score_documents(docs: DataFrame, model: Model, level: float = 0.0, id_col: s
             scores, passages = [], []
             for text in batch.column(1):
                 text = text.as_py()
-                n, segments = _found(model, text)
-                scores.append(probability(model, _features(model, n, segments, level)))
+                score, n, segments = judged(model, text, level)
+                scores.append(score)
                 strong = [s for s in segments if _excess(model, n, s[2]) > level]
                 if strong:
                     spans = [m.span() for m in _TOKEN.finditer(text.lower())]
@@ -222,7 +243,7 @@ def keep_clean(docs: DataFrame, model: Model, level: float = 0.0, text_col: str
     def run(batches):
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col))
-            clean = [probability(model, _features(model, *_found(model, t.as_py()), level)) < 0.5 for t in texts]
+            clean = [judged(model, t.as_py(), level)[0] < 0.5 for t in texts]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
