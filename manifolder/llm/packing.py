@@ -9,6 +9,7 @@ among pieces of equal length: a prefix sum over partitions, never a global sort.
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_right
 from collections import Counter
 
@@ -106,13 +107,13 @@ def place_runs(plan: list[tuple[list[int], int]]) -> dict[int, np.ndarray]:
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids, part, nth) for each piece of each document.
+    """(doc_id, piece, start, length, ids, ids_crc32, part, nth) for each piece of each document.
 
     ids are little-endian unsigned 32-bit.  part is the task and nth the
     number of pieces of that length which the task made before.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, piece int, start long, length long, ids binary, part int, nth long"
+    schema = f"doc_id {kind}, piece int, start long, length long, ids binary, ids_crc32 long, part int, nth long"
 
     def run(batches):
         from pyspark import TaskContext
@@ -122,27 +123,29 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int
         end = np.array([end_id], "<u4").tobytes()
         seen: Counter = Counter()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                some = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 2048):
+                some = batch.slice(at, 2048)
                 ids, rows = some.column(0).to_pylist(), []
                 for k, data in enumerate(encode(some.column(1))):
                     data += end
                     start = 0
                     for piece, size in enumerate(cut_lengths(len(data) // 4, capacity)):
-                        rows.append((ids[k], piece, start, size, data[4 * start : 4 * (start + size)], part, seen[size]))
+                        own = data[4 * start : 4 * (start + size)]
+                        rows.append((ids[k], piece, start, size, own, zlib.crc32(own), part, seen[size]))
                         seen[size] += 1
                         start += size
-                types = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
-                names = ["doc_id", "piece", "start", "length", "ids", "part", "nth"]
+                types = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64()]
+                names = ["doc_id", "piece", "start", "length", "ids", "ids_crc32", "part", "nth"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids, sequence_id, offset) for each piece.
+    """(doc_id, piece, start, length, ids, ids_crc32, sequence_id, offset) for each piece.
 
-    Sequences hold at most ``capacity`` tokens; offsets in one are gapless
+    The ids stay in a table of the workspace, and a query that leaves them out
+    doesn't move them to place the pieces.  Sequences hold at most ``capacity`` tokens; offsets in one are gapless
     from 0.  A null or empty text is its end id alone.  Rows that repeat an id
     are packed each on their own; an empty table packs nothing.  The driver
     holds the plan: a few rows for each of ``capacity`` lengths.
@@ -171,4 +174,4 @@ def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id:
             offset[at] = row[:, 3] + step % row[:, 2] * value
         return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
-    return ranked.withColumn("at", place("length", "rank")).select("doc_id", "piece", "start", "length", "ids", "at.sequence_id", "at.offset")
+    return ranked.withColumn("at", place("length", "rank")).select("doc_id", "piece", "start", "length", "ids", "ids_crc32", "at.sequence_id", "at.offset")
