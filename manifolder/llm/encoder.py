@@ -11,9 +11,11 @@ text.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -37,7 +39,7 @@ class Encoder:
     becomes the old one, from which words in use move on to the new.
     """
 
-    def __init__(self, path: str, cached_words: int = 250_000):
+    def __init__(self, path: str, cached_words: int = 400_000):
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
@@ -57,6 +59,15 @@ class Encoder:
 
     def encode_texts(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text; a null text is an empty one."""
+        collecting = gc.isenabled()
+        gc.disable()  # many small objects, no cycles
+        try:
+            return self._encode_texts(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode_texts(self, texts: pa.Array) -> list[bytes]:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if not self.by_word:
             return [self.encode_whole(t) for t in texts.to_pylist()]
@@ -97,6 +108,9 @@ class Encoder:
             if (kept := old.get(word)) is not None:
                 values[k] = table[word] = kept
                 continue
+            if word.isalpha():
+                plain.append(k)
+                continue
             if word[-1:] in encoded and word[:-1].isalpha():  # a mark after letters is a token of its own
                 halves.append((k, word[:-1], word[-1], None))
                 continue
@@ -108,7 +122,7 @@ class Encoder:
             else:
                 plain.append(k)
         for k, done in zip(plain, self._tokenizer.encode_batch_fast([prefix + words[k] for k in plain], add_special_tokens=False)):
-            values[k] = np.array(done.ids, "<u4").tobytes()
+            values[k] = array("I", done.ids).tobytes()
             if len(words[k]) <= 64:
                 table[words[k]] = values[k]
         if halves:

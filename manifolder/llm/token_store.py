@@ -58,8 +58,8 @@ def _writer(uri: str, tokenizer: str, end_id: int, width: int, dictionary: bytes
             if out is None and batch.num_rows:
                 out = fs.open_output_stream(path)
                 out.write(_MAGIC)
-            for k in range(0, batch.num_rows, 1024):
-                some = batch.slice(k, 1024)
+            for k in range(0, batch.num_rows, 2048):
+                some = batch.slice(k, 2048)
                 keys += [x or 0 for x in some.column(0).to_pylist()]
                 has += some.column(0).is_valid().to_pylist()
                 for data in encode(some.column(1)):
