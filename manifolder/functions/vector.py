@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,8 +49,4 @@ def clip(value: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(value, F.lit(float(low))), F.lit(float(high)))
 
 
-def any_max(columns: list[Column]) -> Column:
-    return reduce(F.greatest, columns)
-
-
 METRICS = {"euclidean": euclidean, "cosine": cosine_distance}
