@@ -127,34 +127,43 @@ def offsets(edges: DataFrame) -> DataFrame:
     return running.join(base, "block").select("head", "degree", (F.col("inner") + F.col("base")).alias("first"))
 
 
+def _edge_state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def components(spark: SparkSession, edges: DataFrame, vertices: DataFrame | None = None, rounds: int = 60) -> DataFrame:
     """(id, component): the smallest vertex reachable; ``vertices`` (id) adds those without edges.
 
-    Labels take the smallest label around and then jump to the label of their
-    label, so long paths settle in a logarithmic number of rounds.
+    Alternates large and small stars: every vertex hands its larger
+    neighbours, then its smaller ones, to the smallest it knows.  A round is
+    two aggregations and two joins over edges that only get fewer, and ends in
+    a table of the shared folder; nothing but a checksum comes to the driver.
     """
     scratch = Scratch(spark, "components")
-    links = edges.select(F.col("head").alias("u"), F.col("tail").alias("v"))
-    links = scratch.keep(links.union(links.select("v", "u")).where("u <> v").distinct(), "links")
-    ids = links.select(F.col("u").alias("id")).distinct()
-    if vertices is not None:
-        ids = ids.union(vertices.select("id")).distinct()
-    labels = scratch.keep(ids.withColumn("label", F.col("id")), "labels0")
+    ends = edges.where("head <> tail").select(F.greatest("head", "tail").alias("u"), F.least("head", "tail").alias("v"))
+    stars = scratch.keep(ends.distinct(), "round0")
+    before = _edge_state(stars)
     for turn in range(1, rounds + 1):
-        around = links.join(labels, links["v"] == labels["id"]).groupBy("u").agg(F.min("label").alias("least"))
-        # A label hooks the whole tree of its holder on to the smallest label around.
-        hooked = labels.join(around, labels["id"] == around["u"], "left").select("id", "label", F.least("label", F.coalesce("least", "label")).alias("seen"))
-        roots = hooked.groupBy("label").agg(F.min("seen").alias("to"))
-        moved = hooked.join(roots, "label").select("id", F.least("seen", "to").alias("label"))
-        jump = moved.select(F.col("id").alias("at"), F.col("label").alias("up"))
-        jumped = scratch.keep(moved.join(jump, moved["label"] == jump["at"], "left").select("id", F.least("label", F.coalesce("up", "label")).alias("label")), f"labels{turn}")
-        changed = jumped.join(labels.withColumnRenamed("label", "was"), "id").where("label <> was").limit(1)
-        settled = changed.isEmpty()
-        scratch.drop(f"labels{turn - 1}")
-        labels = jumped
-        if settled:
+        if not before[0]:
             break
-    return labels.select("id", F.col("label").alias("component"))
+        around = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = around.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+        stars = scratch.keep(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), f"round{turn}")
+        scratch.drop(f"round{turn - 1}")
+        after = _edge_state(stars)
+        if after == before:
+            break
+        before = after
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    linked = stars.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(stars.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
+    alone = edges.select(F.explode(F.array("head", "tail")).alias("id"))
+    if vertices is not None:
+        alone = alone.unionByName(vertices.select("id"))
+    return alone.distinct().join(linked, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def centroids(points: DataFrame, groups: DataFrame) -> DataFrame:

@@ -37,10 +37,11 @@ def knn_expressions(points: DataFrame, k: int, metric: str | Callable[[Column, C
     return ranked(pairs, k)
 
 
-def knn_exact(points: DataFrame, k: int, metric: str = "euclidean", distance_power: float = 0.5, block_rows: int = 1024) -> DataFrame:
+def knn_exact(points: DataFrame, k: int, metric: str = "euclidean", distance_power: float = 0.5, block_rows: int = 1024, apart: int | None = None) -> DataFrame:
     """Exact: every pair of blocks yields the k nearest within it, which are merged.
 
-    Work grows with the square of the points, memory of a task does not; no
+    With ``apart``, points of one run of that many ids are no neighbours of
+    each other.  Work grows with the square of the points, memory of a task does not; no
     point's list is ever longer than k for each block it met.
     """
 
@@ -52,9 +53,11 @@ def knn_exact(points: DataFrame, k: int, metric: str = "euclidean", distance_pow
                 for at in range(0, len(ids), 256):
                     d = distances(x[at : at + 256], y, metric)
                     own = ids[at : at + 256]
+                    if apart:
+                        d[own[:, None] // apart == other[None, :] // apart] = np.inf
                     near = np.argpartition(d, k - 1, axis=1)[:, :k] if k < d.shape[1] else np.broadcast_to(np.arange(d.shape[1]), d.shape)
                     cut = np.take_along_axis(d, near, axis=1).max(axis=1)
-                    i, j = np.nonzero(d <= cut[:, None])  # with ties at the cut
+                    i, j = np.nonzero((d <= cut[:, None]) & np.isfinite(d))  # with ties at the cut
                     keep = np.lexsort((other[j], other[j] != own[i], d[i, j], i))
                     i, j = i[keep], j[keep]
                     first = np.searchsorted(i, i)

@@ -35,11 +35,8 @@ def knn_accuracy(points: DataFrame, k: int = 100, folds: int = 10) -> DataFrame:
     """
     n = points.count()
     size = max(1, n // folds)
-    fold = F.floor(F.col("id") / size)
-    tests = points.select(F.col("id").alias("i"), F.col("x").alias("xi"), F.col("label").alias("own"), fold.alias("fold")).where(F.col("fold") < folds - 1)
-    train = points.select(F.col("id").alias("j"), F.col("x").alias("xj"), "label", fold.alias("other"))
-    pairs = tests.crossJoin(train).where("fold <> other").select("i", "own", "fold", "j", "label", squared_distance(F.col("xi"), F.col("xj")).alias("d"))
-    near = pairs.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("r") <= k)
+    near = knn_exact(points.select("id", "x"), k, distance_power=1.0, apart=size).withColumn("fold", F.floor(F.col("i") / size)).where(F.col("fold") < folds - 1)
+    near = near.join(points.select(F.col("id").alias("i"), F.col("label").alias("own")), "i").join(points.select(F.col("id").alias("j"), "label"), "j")
     votes = near.groupBy("i", "fold", "own", "label").count()
     best = votes.groupBy("i", "fold", "own").agg(F.min(F.struct((-F.col("count")).alias("n"), "label")).alias("b"))
     each = best.groupBy("fold").agg(F.avg((F.col("b.label") == F.col("own")).cast("double")).alias("a"))

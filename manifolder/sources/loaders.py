@@ -97,6 +97,26 @@ def image_folder(spark: SparkSession, path: str) -> DataFrame:
     return dense_ids(rows, "key", "id").select("id", "x", "label")
 
 
+def hdf5_points(spark: SparkSession, path: str, group: str = "train", data: str = "data", target: str = "target") -> DataFrame:
+    """``group/data`` and ``group/target`` of HDF5 files; needs the h5py library on the executors."""
+    try:
+        import h5py  # noqa: F401
+    except ImportError as error:
+        raise NotImplementedError("HDF5 files need the h5py library") from error
+
+    def rows(frames):
+        import h5py
+
+        for frame in frames:
+            for name, content in zip(frame["path"], frame["content"]):
+                with h5py.File(io.BytesIO(bytes(content)), "r") as f:
+                    flat = np.asarray(f[group][data], np.float64).reshape(len(f[group][data]), -1)
+                    yield pd.DataFrame({"file": name, "nth": np.arange(len(flat)), "x": list(flat), "label": np.asarray(f[group][target], np.float64)})
+
+    read = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, "file string, nth long, x array<double>, label double")
+    return dense_ids(read.withColumn("key", F.struct("file", "nth")), "key", "id").select("id", "x", "label")
+
+
 def word_vectors(spark: SparkSession, path: str, most: int = 350_000) -> DataFrame:
     """CSV with a header, a word and its numbers; the first ``most`` rows; all labels are 1."""
     df = spark.read.csv(path, header=True, inferSchema=False).limit(most)
@@ -142,6 +162,7 @@ SOURCES: dict[str, Callable[..., DataFrame]] = {
     "idx": idx_points,
     "pickled_batches": pickled_batches,
     "image_folder": image_folder,
+    "hdf5": hdf5_points,
     "word_vectors": word_vectors,
     "single_cell": single_cell,
     "embeddings": embeddings,
