@@ -170,4 +170,14 @@ SQL = {
     "dense_numbering": "SELECT c_name, row_number() OVER (ORDER BY c_name) - 1 AS nth FROM customer",
     "centered_kernel": _with(POINTS, f"v AS (SELECT a.id AS i, b.id AS j, -{_d2('a.x', 'b.x')} / 2 AS v FROM p a, p b WHERE a.id < 60 AND b.id < 60)") + "SELECT i, j, round(v - avg(v) OVER (PARTITION BY i) - avg(v) OVER (PARTITION BY j) + avg(v) OVER (), 6) AS k FROM v",
     **{f"gradient_field_{kind}": _field(kind) for kind in ("pca", "tsne", "frob_tsne", "umap", "frob_umap")},
+    "entropy_sigma": _with(*NEAR, "c AS (SELECT i, list(pow(d, 4.0) ORDER BY rank) AS ds FROM knn GROUP BY i)", f"""s AS (SELECT i, [e - list_min(ds) FOR e IN ds] AS t, 0::DOUBLE AS lo, 'inf'::DOUBLE AS hi, 1::DOUBLE AS mid, 0 AS n FROM c
+      UNION ALL
+      SELECT i, t, CASE WHEN f > {math.log2(K)!r} THEN lo ELSE mid END, CASE WHEN f > {math.log2(K)!r} THEN mid ELSE hi END,
+        CASE WHEN f > {math.log2(K)!r} THEN (lo + mid) / 2 WHEN isinf(hi) THEN mid * 2 ELSE (mid + hi) / 2 END, n + 1
+      FROM (SELECT *, list_sum([exp(-e / mid) FOR e IN t]) AS f FROM s WHERE n < 100) WHERE abs(f - {math.log2(K)!r}) >= 0.01)""") + "SELECT i, round(arg_max(mid, n), 5) AS sigma FROM s GROUP BY i",
+    "dbscan_clusters": _with(POINTS, FLAT, f"n AS (SELECT a.id AS i, b.id AS j FROM flat a, flat b WHERE (a.y0 - b.y0) * (a.y0 - b.y0) + (a.y1 - b.y1) * (a.y1 - b.y1) <= {0.35 * 0.35!r})", "k AS (SELECT i FROM n GROUP BY i HAVING count(*) >= 5)",
+      "l AS (SELECT i AS u, j AS v FROM n WHERE i IN (SELECT i FROM k) AND j IN (SELECT i FROM k))", "r AS (SELECT u, v FROM l UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u)", "c AS (SELECT u, min(v) AS c FROM r GROUP BY u)", "b AS (SELECT i, min(c) AS c FROM n JOIN c ON u = j GROUP BY i)") + "SELECT id, coalesce(c.c, b.c, -1) AS cluster FROM flat LEFT JOIN c ON u = id LEFT JOIN b ON i = id",
+    "diversified_neighbors": _with(POINTS, _knn(k=6), "o AS (SELECT i, j, d, x, row_number() OVER (PARTITION BY i ORDER BY d, j) AS pos FROM knn JOIN p ON p.id = j WHERE i <> j)", f"""s AS (SELECT id AS i, 0::BIGINT AS n, []::STRUCT(j BIGINT, d DOUBLE, x DOUBLE[])[] AS kept FROM p
+      UNION ALL
+      SELECT s.i, n + 1, CASE WHEN len([1 FOR c IN kept IF c.d > 1e-8 AND sqrt(sqrt({_d2('c.x', 'o.x')})) < o.d]) > 0 THEN kept ELSE list_append(kept, {{'j': o.j, 'd': o.d, 'x': o.x}}) END FROM s JOIN o ON o.i = s.i AND o.pos = n + 1)""", "f AS (SELECT i, arg_max(kept, n) AS kept FROM s GROUP BY i)", "u AS (SELECT i, unnest(kept) AS e, generate_subscripts(kept, 1)::INT AS rank FROM f)") + "SELECT i, e.j AS j, rank, round(e.d, 6) AS d FROM u",
 }
