@@ -39,7 +39,7 @@ class Encoder:
     becomes the old one, from which words in use move on to the new.
     """
 
-    def __init__(self, path: str, cached_words: int = 400_000):
+    def __init__(self, path: str, cached_words: int = 250_000):
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
@@ -102,11 +102,13 @@ class Encoder:
             self._old[prefix], table = table, {}
             self._tables[prefix] = table
         values, old, encoded = list(map(table.get, words)), self._old[prefix], self._parts
+        missing = [k for k, v in enumerate(values) if v is None]
+        kept = list(map(old.get, [words[k] for k in missing]))
         plain, halves = [], []
-        for k in [k for k, v in enumerate(values) if v is None]:
+        for k, known in zip(missing, kept):
             word = words[k]
-            if (kept := old.get(word)) is not None:
-                values[k] = table[word] = kept
+            if known is not None:
+                values[k] = table[word] = known
                 continue
             if word.isalpha():
                 plain.append(k)

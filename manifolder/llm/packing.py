@@ -123,8 +123,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int
         end = np.array([end_id], "<u4").tobytes()
         seen: Counter = Counter()
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                some = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, 1024):
+                some = batch.slice(at, 1024)
                 ids, rows = some.column(0).to_pylist(), []
                 for k, data in enumerate(encode(some.column(1))):
                     data += end
@@ -137,6 +137,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int
                 types = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64()]
                 names = ["doc_id", "piece", "start", "length", "ids", "ids_crc32", "part", "nth"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+            pa.default_memory_pool().release_unused()  # the worker goes on to other stages
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
