@@ -29,7 +29,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
         p.add_argument(f"--{name}", type=float)
     for name in ("random-init", "pseudo-distance", "tsne-symmetrization", "normalized", "sym-attraction", "frobenius", "amplify-grads", "angular", "accelerated"):
         p.add_argument(f"--{name}", action=argparse.BooleanOptionalAction, default=None)
-    p.add_argument("--method", choices=["gdr", "umap", "tsne"])
+    p.add_argument("--method", choices=["blended", "umap", "tsne"])
     p.add_argument("--metric", choices=["euclidean", "cosine"])
     return p.parse_args(argv)
 

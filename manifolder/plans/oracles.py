@@ -151,8 +151,8 @@ SQL = {
     "forces_kl_normalized": _forces(True, False),
     "forces_frobenius": _forces(False, True),
     "forces_frobenius_normalized": _forces(True, True),
-    "gdr_epoch": _epoch(False),
-    "gdr_epoch_normalized": _epoch(True),
+    "blended_epoch": _epoch(False),
+    "blended_epoch_normalized": _epoch(True),
     "neighbor_accuracy": _with(POINTS, "n AS (SELECT count(*) // 10 AS size FROM p)", f"""q AS (SELECT a.id AS i, a.label AS own, a.id // size AS fold, b.label, row_number() OVER (PARTITION BY a.id ORDER BY {_d2('a.x', 'b.x')}, b.id) AS r
       FROM p a, p b, n WHERE a.id // size < 9 AND a.id // size <> b.id // size QUALIFY r <= 20)""", "v AS (SELECT i, fold, own, label, count(*) AS n FROM q GROUP BY ALL)", "w AS (SELECT i, fold, own, label FROM v QUALIFY row_number() OVER (PARTITION BY i ORDER BY n DESC, label) = 1)") + "SELECT round(avg(a), 6) AS accuracy FROM (SELECT avg((own = label)::INT) AS a FROM w GROUP BY fold)",
     "v_measure": _with(POINTS, "a AS (SELECT label, (x[1] > 0)::INT * 2 + (x[2] > 0)::INT AS c FROM p)", """n AS (SELECT label, c, count(*) AS n, sum(count(*)) OVER (PARTITION BY label) AS l, sum(count(*)) OVER (PARTITION BY c) AS k, sum(count(*)) OVER () AS t FROM a GROUP BY label, c)""",

@@ -267,12 +267,12 @@ def _one_epoch(spark, sf, p: Params):
 
 
 @query
-def gdr_epoch(spark, sf):
+def blended_epoch(spark, sf):
     return _one_epoch(spark, sf, Params(a=1.0, b=1.0, sym_attraction=True, n_epochs=EPOCHS))
 
 
 @query
-def gdr_epoch_normalized(spark, sf):
+def blended_epoch_normalized(spark, sf):
     return _one_epoch(spark, sf, Params(a=1.0, b=1.0, normalized=True, sym_attraction=False, amplify_grads=True, n_epochs=EPOCHS))
 
 
@@ -285,17 +285,17 @@ def _layout(spark, sf, *args, **changes):
 
 
 @query
-def embed_gdr(spark, sf):
-    return _layout(spark, sf, "gdr")
+def embed_blended(spark, sf):
+    return _layout(spark, sf, "blended")
 
 
 @query
-def embed_gdr_normalized(spark, sf):
-    return _layout(spark, sf, "gdr_normed")
+def embed_blended_normalized(spark, sf):
+    return _layout(spark, sf, "blended_normed")
 
 
 @query
-def embed_gdr_frobenius(spark, sf):
+def embed_blended_frobenius(spark, sf):
     return _layout(spark, sf, frobenius=True, n_epochs=EPOCHS, a=1.0, b=1.0)
 
 
@@ -382,7 +382,7 @@ def principal_components(spark, sf):
 
 @query
 def parameter_sweep(spark, sf):
-    return sweep(spark, {"embeddings": _points(spark, sf)}, ("umap", "gdr"), ("default", "random_init"), n_epochs=20)
+    return sweep(spark, {"embeddings": _points(spark, sf)}, ("umap", "blended"), ("default", "random_init"), n_epochs=20)
 
 
 # Resizing

@@ -182,7 +182,7 @@ def test_dataset_registry(spark, sf):
 
 
 def test_runs_round_trip(spark, tmp_path):
-    rows = spark.createDataFrame([("d", "umap", "default", "seconds", 1.0), ("d", "gdr", "default", "acc", 0.5)], runs.RUNS)
+    rows = spark.createDataFrame([("d", "umap", "default", "seconds", 1.0), ("d", "blended", "default", "acc", 0.5)], runs.RUNS)
     runs.save_runs(rows, str(tmp_path / "r"))
     assert runs.read_runs(spark, str(tmp_path / "r"), ("d/umap", "default")).first().value == 1.0
     assert runs.read_runs(spark, str(tmp_path / "r"), metric="acc").count() == 1
@@ -192,8 +192,8 @@ def test_runs_round_trip(spark, tmp_path):
 
 def test_sweep_and_algorithms(spark):
     points = loaders.fake_clusters(spark, 40, 5, seed=3)
-    rows = sweep(spark, {"clusters": points}, ("umap", "gdr"), ("default", "normalized"), n_epochs=10, n_neighbors=6).collect()
-    assert {(r.algorithm, r.param) for r in rows} == {("umap", "default"), ("gdr", "default"), ("gdr", "normalized")}
+    rows = sweep(spark, {"clusters": points}, ("umap", "blended"), ("default", "normalized"), n_epochs=10, n_neighbors=6).collect()
+    assert {(r.algorithm, r.param) for r in rows} == {("umap", "default"), ("blended", "default"), ("blended", "normalized")}
     assert len(algorithm("pca")(points).first().y) == 2
     with pytest.raises(ValueError):
         algorithm("none")
