@@ -49,6 +49,8 @@ class Encoder:
         self._most = cached_words
         self._tables: dict[str, dict[str, bytes | bool]] = {" ": {}, "": {}}
         self._old: dict[str, dict[str, bytes | bool]] = {" ": {}, "": {}}
+        self._space_led = np.zeros(self._tokenizer.get_vocab_size(), bool)
+        self._space_led[[k for token, k in self._tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
         self._parts = {mark: self.encode_whole(mark) for mark in "\n,.;:!?"}
 
     def encode_whole(self, text: str) -> bytes:
@@ -77,7 +79,7 @@ class Encoder:
         bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
         words = split.flatten()
         coded = words.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         values = self._values(distinct, " ") + self._values(words.take(pa.array(bounds[:-1])).to_pylist(), "")
         codes = coded.indices.to_numpy().astype(np.int64)
         codes[bounds[:-1]] = len(distinct) + np.arange(len(texts))
@@ -95,6 +97,27 @@ class Encoder:
             out[k] = self.encode_whole(texts[k].as_py())
         return out
 
+    def _encoded(self, words: list[str], prefix: str) -> list[bytes]:
+        """Each of some new words, encoded by the library.
+
+        Space-led words of letters go in many to a text: each begins with the
+        only one of its ids whose token begins with a space.
+        """
+        out: list[bytes | None] = [None] * len(words)
+        letters = [k for k, w in enumerate(words) if prefix and w.isalpha()]
+        texts = [" " + " ".join([words[k] for k in letters[a : a + 256]]) for a in range(0, len(letters), 256)]
+        for a, done in zip(range(0, len(letters), 256), self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids, group = np.array(done.ids, "<u4"), letters[a : a + 256]
+            cuts = np.flatnonzero(self._space_led[ids]).tolist()
+            if len(cuts) == len(group):
+                data = ids.tobytes()
+                for k, start, stop in zip(group, cuts, [*cuts[1:], len(ids)]):
+                    out[k] = data[4 * start : 4 * stop]
+        rest = [k for k, v in enumerate(out) if v is None]
+        for k, done in zip(rest, self._tokenizer.encode_batch_fast([prefix + words[k] for k in rest], add_special_tokens=False)):
+            out[k] = array("I", done.ids).tobytes()
+        return out
+
     def _values(self, words: list[str], prefix: str) -> list[bytes | bool]:
         """Encoded ``prefix + word`` for each word; False if it depends on what stands beside it."""
         table = self._tables[prefix]
@@ -103,13 +126,14 @@ class Encoder:
             self._tables[prefix] = table
         values, old, encoded = list(map(table.get, words)), self._old[prefix], self._parts
         missing = [k for k, v in enumerate(values) if v is None]
-        kept = list(map(old.get, [words[k] for k in missing]))
+        names = [words[k] for k in missing]
+        kept = list(map(old.get, names))
+        table.update([(w, v) for w, v in zip(names, kept) if v is not None])
+        for k, v in zip(missing, kept):
+            values[k] = v
         plain, halves = [], []
-        for k, known in zip(missing, kept):
+        for k in [k for k, v in zip(missing, kept) if v is None]:
             word = words[k]
-            if known is not None:
-                values[k] = table[word] = known
-                continue
             if word.isalpha():
                 plain.append(k)
                 continue
@@ -123,8 +147,8 @@ class Encoder:
                 halves.append((k, word[:at], "\n", word[at + 1 :]))  # two words at a line's end
             else:
                 plain.append(k)
-        for k, done in zip(plain, self._tokenizer.encode_batch_fast([prefix + words[k] for k in plain], add_special_tokens=False)):
-            values[k] = array("I", done.ids).tobytes()
+        for k, done in zip(plain, self._encoded([words[k] for k in plain], prefix)):
+            values[k] = done
             if len(words[k]) <= 64:
                 table[words[k]] = values[k]
         if halves:

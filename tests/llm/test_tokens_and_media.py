@@ -58,6 +58,14 @@ def test_encoder_equals_library(text):
     assert ENCODER.encode(text) == ENCODER.encode_whole(text)
 
 
+def test_encoder_equals_library_on_documents(sf, ids_of):
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table(f"{sf}/documents.parquet")["text"]
+    for encoder in (ENCODER, Encoder(PATH)):
+        assert encoder.encode_texts(texts.combine_chunks()) == [np.array(ids_of(t), "<u4").tobytes() for t in texts.to_pylist()]
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
