@@ -460,8 +460,7 @@ QUERIES |= {f"gradient_field_{kind}": _field(kind) for kind in gradients.FIELDS}
 
 @query
 def centered_kernel(spark, sf):
-    some = _points(spark, sf).where("id < 60")  # the kernel of a small set is what the field is drawn from
-    return gradients.centered(gradients.pairwise_squared(some)).select("i", "j", _r("k"))
+    return gradients.centered(gradients.pairwise_squared(_points(spark, sf))).select("i", "j", _r("k"))
 
 
 @query
