@@ -200,12 +200,22 @@ def simhash_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
 def keep_representatives(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 3) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id.
 
-    Rows that repeat an id keep one of them, the first by text.  All columns
-    are passed on.  Rows without an id survive only where their component has
-    no id at all, one for each component.
+    Rows are told apart by their fingerprints, not by their ids, so texts that
+    repeat an id or have none each stand for their own component.  Rows with an
+    id come before those without; equal ids go by text, then by the other
+    columns.  All columns are passed on.
     """
-    members = simhash_components(spark, docs, id_col, text_col, width, distance)
-    kept = members.groupBy("doc_id").agg(F.count("*").alias("_n"), F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_least")).where("_least")
-    chosen = docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col(id_col).eqNullSafe(F.col("_kept")))
-    again = chosen.where("_n > 1").groupBy(id_col).agg(F.min_by(F.struct(*docs.columns), F.struct(F.col(text_col), F.xxhash64(*docs.columns))).alias("_row"))
-    return chosen.where("_n = 1").select(*docs.columns).unionByName(again.select("_row.*"))
+    ws = Workspace(spark, "representatives")
+    names = [id_col, *([text_col] if text_col != id_col else []), *[c for c in docs.columns if c not in (id_col, text_col)]]
+    row = F.struct(F.col(id_col).isNull().alias("none"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(names)])
+
+    @F.arrow_udf("long")
+    def of_text(texts: pa.Array) -> pa.Array:
+        return pa.array(np.fromiter((fingerprint(t.as_py(), width) for t in texts), np.uint64, len(texts)).view(np.int64))
+
+    firsts = docs.select(of_text(F.col(text_col).cast("string")).alias("fp"), row.alias("row")).groupBy("fp").agg(F.min("row").alias("row"))
+    firsts = ws.table(firsts, "firsts")
+    links = ws.table(fingerprint_links(firsts, distance), "links")
+    labels = connected_components(spark, links, ws)
+    grouped = firsts.join(labels.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("label", "fp")).agg(F.min("row").alias("row"))
+    return grouped.select(*[F.col("row")[f"c{names.index(c)}"].alias(c) for c in docs.columns])
