@@ -31,8 +31,8 @@ def pairwise_squared(points: DataFrame) -> DataFrame:
 
 
 def centered(pairs: DataFrame) -> DataFrame:
-    """(i, j, k): the doubly centred kernel -d2 / 2, whose rows and columns have mean 0."""
-    value = pairs.withColumn("v", -F.col("d2") / 2)
+    """(i, j, k): squared distances less the means of their row and column, so that both have mean 0."""
+    value = pairs.withColumnRenamed("d2", "v")
     rows = value.groupBy("i").agg(F.avg("v").alias("ri"))
     columns = value.groupBy("j").agg(F.avg("v").alias("rj"))
     total = value.agg(F.avg("v").alias("t"))
