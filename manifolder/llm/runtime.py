@@ -2,58 +2,50 @@
 
 Intermediate results go to the folder that the cluster names in
 ``spark.checkpoint.dir``: every executor and the driver can read it, so a lost
-executor never takes the only copy with it.  A session without that setting
-(tests, a laptop) gets a temporary folder of its own.
+executor never takes the only copy with it.
 """
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_local_dir: str | None = None
+from manifolder.operators.session import Scratch
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """URI of the folder shared by driver and executors."""
-    global _local_dir
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if _local_dir is None:
-            _local_dir = tempfile.mkdtemp(prefix="manifolder-")
-        named = _local_dir
-        spark.sparkContext.setCheckpointDir(named)
-    return named if "://" in named or named.startswith("file:") else f"file://{named}"
+class Workspace(Scratch):
+    """A private folder of the shared one, deleted when Python ends."""
 
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` as Parquet and read it back: lineage ends here."""
+        return self.keep(df, name)
 
-class Workspace:
-    """A private folder below :func:`shared_dir`, deleted when Python ends."""
 
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.uri = f"{shared_dir(spark).rstrip('/')}/manifolder-{label}-{uuid.uuid4().hex[:12]}"
-        atexit.register(self.drop)
+def unused_name(docs: DataFrame, wanted: str) -> str:
+    """A column name that ``docs`` doesn't have, in whatever case."""
+    taken = {c.lower() for c in docs.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
 
-    def path(self, name: str) -> str:
-        return f"{self.uri}/{name}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` as Parquet and read it back: lineage ends here."""
-        df.write.mode("overwrite").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
+def column(name: str):
+    """The column of just this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def numbered(ws: Workspace, docs: DataFrame, **more) -> tuple[DataFrame, list[str]]:
+    """``docs`` written with a number for each row, and with columns of ``more``; and the names of those.
 
-    def drop(self, name: str | None = None) -> None:
-        """Delete one table, or the whole workspace."""
-        with contextlib.suppress(Exception):
-            jvm = self.spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.uri)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    The numbers are fixed by the table, so they tell apart rows that are alike
+    in all columns, whatever is run again later.
+    """
+    names, out = [], docs
+    for wanted, expression in {"row": F.monotonically_increasing_id(), **more}.items():
+        names.append(unused_name(out, wanted))
+        out = out.withColumn(names[-1], expression)
+    return ws.table(out, "numbered"), names
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -67,9 +59,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_bytes(df: DataFrame, column: str = "text") -> int:
+def text_bytes(df: DataFrame, name: str = "text") -> int:
     """UTF-8 bytes in a text column: what partition counts are derived from."""
-    return df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
+    return df.agg(F.coalesce(F.sum(F.octet_length(name)), F.lit(0))).first()[0]
 
 
 def parts_for(units: int, per_part: int, least: int = 1) -> int:

@@ -1,19 +1,25 @@
-"""SimHash near-duplicates through a byte-position inverted index.
+"""SimHash near-duplicates through a byte-position inverted index with count filtering.
 
 A fingerprint has eight positional bytes.  Two fingerprints that differ in at
-most ``distance`` bits differ in at most ``distance`` bytes, so they share at
-least ``8 - distance`` positional bytes: the guaranteed minimum of the count
-filter.  Posting lists of single positional bytes hold 1/256 of a corpus each,
-which makes tallies quadratic; the lists here are kept for every set of
-``8 - distance`` positions instead, where a pair meets exactly when its tally
-reaches the minimum.  Each pair that meets is tallied and verified by its
-differing bits.
-
-A posting list has at most ``2 ** (8 * distance)`` members, whatever the
-corpus, because the bytes outside the set are all that may differ in it.  From
-each list only a spanning forest of its verified links leaves the task, so a
-group of thousands of near copies yields links in proportion to its members,
-and connectivity stays exact.
+most three bits differ in at most three bytes, so they share at least five
+positional bytes: the guaranteed minimum of the count filter.  Posting lists
+of single positional bytes would hold 1/256 of a corpus each, so the index has
+a list for each value of each of fourteen sets of four positions: the
+four-element sets of 0..7 whose members cancel out under exclusive or.  They
+form a Steiner system in which any three positions lie in just one set, and
+the set's complement is one of the fourteen, too; so wherever the three
+differing bytes are, some set has none of them and the pair meets in its list.
+
+A list holds pairs that share four bytes and no more, as well.  Pairs are
+tallied by their shared positional bytes, those that reach the guaranteed
+minimum are kept, and these are verified by their differing bits.  Members of
+a list that grows long go on to longer keys, of the list's positions and each
+fifth one: any pair that reaches the minimum shares one of those, and such a
+list has at most 2 ** 24 distinct members.
+
+From each list only a spanning forest of its verified links leaves the task,
+so a group of thousands of near copies yields links in proportion to its
+members, and connectivity stays exact.
 """
 
 from __future__ import annotations
@@ -26,12 +32,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from manifolder.llm.components import connected_components
-from manifolder.llm.runtime import Workspace
+from manifolder.llm.runtime import Workspace, column, numbered
+from manifolder.operators.graph import components
 
-#: Below this many members a posting list is compared all against all.
+#: Members from which on a list is split by a fifth position.
+_LONG = 4096
+
+#: Below this many members a list with a fifth position is compared all against all.
 _DENSE = 2048
 
+#: Differing bits up to which the index finds all pairs.
+MOST_BITS = 3
+
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     """SimHash of the ``width``-word shingles of a whole text, repeats counted.
@@ -70,16 +82,39 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp long")
 
 
-def _postings(fps: DataFrame, distance: int) -> DataFrame:
-    """(positions, shared, fp): an entry for each fingerprint in each of its lists."""
+def position_sets() -> list[tuple[int, ...]]:
+    """The fourteen sets of four of the eight positions in which any three positions lie together once."""
+    return [s for s in combinations(range(8), 4) if s[0] ^ s[1] ^ s[2] ^ s[3] == 0]
+
+
+def _mask(positions: tuple[int, ...]) -> int:
+    return sum(0xFF << (8 * p) for p in positions)
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >= 1 << 63 else mask
+
+
+def _postings(fps: DataFrame) -> DataFrame:
+    """(positions, shared, fp): an entry for each fingerprint in each of its lists; positions is a bit for each."""
     entries = []
-    for k, kept in enumerate(combinations(range(8), 8 - distance)):
-        mask = sum(0xFF << (8 * p) for p in kept)
-        signed = mask - (1 << 64) if mask >= 1 << 63 else mask
-        entries.append(F.struct(F.lit(k).cast("short").alias("positions"), F.col("fp").bitwiseAND(F.lit(signed)).alias("shared")))
+    for kept in position_sets():
+        shared = F.col("fp").bitwiseAND(F.lit(_signed(_mask(kept))))
+        entries.append(F.struct(F.lit(sum(1 << p for p in kept)).cast("short").alias("positions"), shared.alias("shared")))
     return fps.select("fp", F.explode(F.array(*entries)).alias("e")).select("e.positions", "e.shared", "fp")
 
 
+def tally(x: np.ndarray) -> np.ndarray:
+    """Positional bytes that two fingerprints share, from their exclusive or."""
+    return 8 - (np.ascontiguousarray(x).view(np.uint8).reshape(len(x), 8) != 0).sum(axis=1)
+
+
+def _near(x: np.ndarray, distance: int) -> np.ndarray:
+    """Which pairs reach the guaranteed minimum of the tally and, verified, differ in few enough bits."""
+    found = np.flatnonzero(tally(x) >= 8 - distance)
+    return found[np.bitwise_count(x[found]) <= distance]
+
+
 def _find(parent: np.ndarray, x: int) -> int:
     while parent[x] != x:
         parent[x] = parent[parent[x]]
@@ -99,7 +134,7 @@ def list_links(values: np.ndarray, distance: int) -> list[tuple[int, int]]:
     parent = np.arange(m)
     free = int(np.bitwise_or.reduce(values ^ values[0]))
     bits = [1 << b for b in range(64) if free >> b & 1]
-    reach = sum(len(list(combinations(bits, r))) for r in range(1, distance + 1)) if len(bits) <= 24 else 1 << 62
+    reach = sum(len(list(combinations(bits, r))) for r in range(1, distance + 1)) if len(bits) <= 32 else 1 << 62
 
     def union(left, right):
         for a, b in zip(left.tolist(), right.tolist()):
@@ -109,9 +144,7 @@ def list_links(values: np.ndarray, distance: int) -> list[tuple[int, int]]:
 
     if m <= _DENSE or m // 2 <= reach:
         for i in range(m - 1):
-            x = values[i + 1 :] ^ values[i]
-            shared = 8 - (x.view(np.uint8).reshape(-1, 8) != 0).sum(axis=1)  # the tally of positional bytes
-            near = np.flatnonzero((shared >= 8 - distance) & (np.bitwise_count(x) <= distance)) + i + 1
+            near = _near(values[i + 1 :] ^ values[i], distance) + i + 1
             union(np.full(len(near), i), near)
     else:
         for r in range(1, distance + 1):
@@ -124,56 +157,98 @@ def list_links(values: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return [(int(values[i]), int(values[r])) for i, r in enumerate(roots) if i != r]
 
 
-def _run_links(distance: int):
-    """Streams sorted postings; a list is cut off at its end, wherever batches break."""
+def _split(positions: int, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries of a list's members under its positions and each fifth one."""
+    longer = [positions | 1 << p for p in range(8) if not positions >> p & 1]
+    masks = [np.uint64(_mask(tuple(p for p in range(8) if five >> p & 1))) for five in longer]
+    return np.repeat(longer, len(values)), np.concatenate([values & m for m in masks]), np.tile(values, len(longer))
+
+
+_ENTRIES = "positions short, a long, b long"
+
+
+def _batch(positions, a, b) -> pa.RecordBatch:
+    columns = [pa.array(np.asarray(positions, np.int16)), *(pa.array(np.asarray(c, np.uint64).view(np.int64)) for c in (a, b))]
+    return pa.RecordBatch.from_arrays(columns, names=["positions", "a", "b"])
+
+
+def _run_links(distance: int, long: int | None):
+    """Links (0, a, b) of sorted postings, and the entries (positions, shared, fp) that longer lists go on to.
+
+    Lists are cut off at their ends wherever batches break; of one with more
+    than ``long`` members no more than a batch is held.
+    """
 
     def links_of(p, s, f):
         edges = np.flatnonzero((p[1:] != p[:-1]) | (s[1:] != s[:-1])) + 1
         starts = np.concatenate([[0], edges])
         sizes = np.diff(np.concatenate([starts, [len(f)]]))
-        left, right = [], []
-        pairs = starts[sizes == 2]
-        if len(pairs):  # most lists of more than one member
-            x = f[pairs] ^ f[pairs + 1]
-            shared = 8 - (x.view(np.uint8).reshape(-1, 8) != 0).sum(axis=1)
-            near = pairs[(shared >= 8 - distance) & (np.bitwise_count(x) <= distance)]
-            left += f[near].tolist()
-            right += f[near + 1].tolist()
+        pairs = starts[sizes == 2]  # most lists of more than one member
+        near = pairs[_near(f[pairs] ^ f[pairs + 1], distance)]
+        left, right = f[near].tolist(), f[near + 1].tolist()
         for at, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+            if long is not None and n > long:
+                yield _batch(*_split(int(p[at]), f[at : at + n]))
+                continue
             for a, b in list_links(f[at : at + n], distance):
                 left.append(a)
                 right.append(b)
-        return pa.RecordBatch.from_arrays([pa.array(np.array(c, np.uint64).view(np.int64)) for c in (left, right)], names=["a", "b"])
+        yield _batch(np.zeros(len(left)), left, right)
 
     def run(batches):
         held: list[tuple] = []
+        splitting = None  # the key of a long list whose members so far have gone on
         for batch in batches:
             if not batch.num_rows:
                 continue
-            p = batch.column(0).to_numpy()
-            s = batch.column(1).to_numpy()
+            p, s = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             f = batch.column(2).to_numpy().view(np.uint64)
+            if splitting is not None:
+                own = int(np.searchsorted((p != splitting[0]) | (s != splitting[1]), True))
+                if own:
+                    yield _batch(*_split(splitting[0], f[:own]))
+                p, s, f = p[own:], s[own:], f[own:]
+                if not len(f):
+                    continue
+                splitting = None
             last = np.flatnonzero((p != p[-1]) | (s != s[-1]))
             cut = int(last[-1]) + 1 if len(last) else 0
-            if cut == 0 and held and (held[-1][0][-1], held[-1][1][-1]) == (p[0], s[0]):
-                held.append((p, s, f))
-                continue
-            head = [*held, (p[:cut], s[:cut], f[:cut])]
-            whole = [np.concatenate(c) for c in zip(*head)]
-            if len(whole[2]):
-                yield links_of(*whole)
-            held = [(p[cut:], s[cut:], f[cut:])]
+            if cut or (held and (held[-1][0][-1], held[-1][1][-1]) != (p[0], s[0])):
+                whole = [np.concatenate(c) for c in zip(*held, (p[:cut], s[:cut], f[:cut]))]
+                if len(whole[2]):
+                    yield from links_of(*whole)
+                held = []
+            held.append((p[cut:], s[cut:], f[cut:]))
+            if long is not None and sum(len(h[2]) for h in held) > long:
+                splitting = (int(p[-1]), int(s[-1]))
+                yield _batch(*_split(splitting[0], np.concatenate([h[2] for h in held])))
+                held = []
         if held:
-            yield links_of(*[np.concatenate(c) for c in zip(*held)])
+            yield from links_of(*[np.concatenate(c) for c in zip(*held)])
 
     return run
 
 
-def fingerprint_links(fps: DataFrame, distance: int = 3) -> DataFrame:
-    """(a, b): links whose closure is that of all pairs within ``distance`` bits."""
-    postings = _postings(fps.select("fp").where("fp is not null").distinct(), distance)
-    dealt = postings.repartition("positions", "shared").sortWithinPartitions("positions", "shared")
-    return dealt.mapInArrow(_run_links(distance), "a long, b long").distinct()
+def fingerprint_links(ws: Workspace, fps: DataFrame, distance: int = 3, long: int = _LONG) -> DataFrame:
+    """(head, tail): links whose closure is that of all pairs of ``fps`` (fp) within ``distance`` bits, 3 at most."""
+    if not 0 <= distance <= MOST_BITS:
+        raise ValueError(f"the index finds pairs of at most {MOST_BITS} differing bits")
+
+    def met(postings: DataFrame, most: int | None) -> DataFrame:
+        dealt = postings.repartition("positions", "shared").sortWithinPartitions("positions", "shared")
+        return dealt.mapInArrow(_run_links(distance, most), _ENTRIES)
+
+    found = ws.table(met(_postings(fps.select("fp").where("fp is not null").distinct()), long), "met")
+    links = found.where("positions = 0")
+    entries = found.where("positions <> 0").select("positions", F.col("a").alias("shared"), F.col("b").alias("fp"))
+    if not entries.isEmpty():
+        links = links.unionByName(met(entries.distinct(), None))
+    return ws.table(links.select(F.col("a").alias("head"), F.col("b").alias("tail")).distinct(), "links")
+
+
+def _labels(spark: SparkSession, ws: Workspace, fps: DataFrame, distance: int) -> DataFrame:
+    """(fp, label) for fingerprints with links: the smallest one reachable."""
+    return components(spark, fingerprint_links(ws, fps, distance)).select(F.col("id").alias("fp"), F.col("component").alias("label"))
 
 
 def simhash_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 3) -> DataFrame:
@@ -188,10 +263,9 @@ def simhash_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     """
     ws = Workspace(spark, "simhash")
     fps = ws.table(fingerprints(docs, id_col, text_col, width), "fps")
-    links = ws.table(fingerprint_links(fps, distance), "links")
-    labels = connected_components(spark, links, ws)
+    labels = _labels(spark, ws, fps, distance)
     least = fps.groupBy("fp").agg(F.min("id").alias("least"))
-    grouped = least.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    grouped = least.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     roots = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
     by_fp = grouped.join(roots, "label").select("fp", "component_id")
     return fps.join(by_fp, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -200,22 +274,25 @@ def simhash_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
 def keep_representatives(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 3) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id.
 
-    Rows are told apart by their fingerprints, not by their ids, so texts that
-    repeat an id or have none each stand for their own component.  Rows with an
-    id come before those without; equal ids go by text, then by the other
-    columns.  All columns are passed on.
+    Rows are told apart by their places in the table, not by their ids, so
+    texts that repeat an id or have none each stand for their own component.
+    Rows with an id come before those without; of equal ids those without a
+    text come first, then it goes by hashes of the text and the other columns.  Null and empty texts are one component.
+    All columns are passed on, whatever their names and types; an empty table
+    stays empty.
     """
     ws = Workspace(spark, "representatives")
-    names = [id_col, *([text_col] if text_col != id_col else []), *[c for c in docs.columns if c not in (id_col, text_col)]]
-    row = F.struct(F.col(id_col).isNull().alias("none"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(names)])
 
     @F.arrow_udf("long")
     def of_text(texts: pa.Array) -> pa.Array:
         return pa.array(np.fromiter((fingerprint(t.as_py(), width) for t in texts), np.uint64, len(texts)).view(np.int64))
 
-    firsts = docs.select(of_text(F.col(text_col).cast("string")).alias("fp"), row.alias("row")).groupBy("fp").agg(F.min("row").alias("row"))
-    firsts = ws.table(firsts, "firsts")
-    links = ws.table(fingerprint_links(firsts, distance), "links")
-    labels = connected_components(spark, links, ws)
-    grouped = firsts.join(labels.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("label", "fp")).agg(F.min("row").alias("row"))
-    return grouped.select(*[F.col("row")[f"c{names.index(c)}"].alias(c) for c in docs.columns])
+    text = column(text_col).cast("string")
+    others = [column(c).alias(f"c{k}") for k, c in enumerate(docs.columns) if c not in (id_col, text_col)]
+    other = F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0).cast("long")
+    whole, (row, fp, hashed, rest) = numbered(ws, docs, fp=of_text(text), text_hash=F.xxhash64(text), other_hash=other)
+    place = F.struct(column(id_col).isNull().alias("none"), column(id_col).alias("id"), text.isNotNull().alias("some"), column(hashed).alias("t"), column(rest).alias("o"), column(row).alias("row"))
+    firsts = ws.table(whole.groupBy(column(fp).alias("fp")).agg(F.min(place).alias("first")), "firsts")
+    labels = _labels(spark, ws, firsts, distance)
+    kept = firsts.join(labels, "fp", "left").groupBy(F.coalesce("label", "fp")).agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    return whole.join(kept, row, "left_semi").select(*[column(c) for c in docs.columns])

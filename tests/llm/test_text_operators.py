@@ -1,17 +1,19 @@
 """Scoring, SimHash, toxicity and mixing against brute force, with awkward rows."""
 
+import itertools
 import math
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
 from manifolder.llm import entries, lm_score, mixing, simhash, toxicity
-from manifolder.llm.components import connected_components
 from manifolder.llm.runtime import Workspace
+from manifolder.operators.graph import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, count long, size long, fp long, batch string"
 LONG = "alpha beta gamma delta " * 6000
@@ -129,13 +131,16 @@ def test_simhash_chains_and_dense_lists():
     assert far
 
 
-def test_simhash_links_match_all_pairs(spark):
+@pytest.mark.parametrize("long", [3, 4096])
+def test_simhash_links_match_all_pairs(spark, long):
     rng = np.random.default_rng(5)
     fps = [int(x) for x in rng.integers(-(1 << 63), 1 << 63, 60)]
     fps += [f ^ (1 << int(b)) if b < 63 else f for f in fps[:30] for b in rng.integers(0, 63, 3)]
+    fps += [fps[0] ^ (1 << a) ^ (1 << b) ^ (1 << c) for a, b, c in ((0, 8, 16), (3, 30, 60), (9, 10, 62), (20, 28, 36), (1, 33, 41))]
+    fps += [fps[1] ^ int(x) for x in rng.integers(0, 1 << 30, 300)]  # share four bytes, most of them no more
     fps = sorted(set(fps))
-    links = simhash.fingerprint_links(spark.createDataFrame([(f,) for f in fps], "fp long"), 3)
-    labels = {r.node: r.label for r in connected_components(spark, links, Workspace(spark, "t")).collect()}
+    links = simhash.fingerprint_links(Workspace(spark, "t"), spark.createDataFrame([(f,) for f in fps], "fp long"), 3, long)
+    labels = {r.id: r.component for r in components(spark, links).collect()}
     want = classes(fps, lambda a, b: bin((a ^ b) & ((1 << 64) - 1)).count("1") <= 3)
     same = defaultdict(set)
     for f, p in zip(fps, want):
@@ -143,6 +148,32 @@ def test_simhash_links_match_all_pairs(spark):
     assert all(len(s) == 1 for s in same.values()) and len({next(iter(s)) for s in same.values()}) == len(same)
 
 
+def test_position_sets_find_three_differing_bytes():
+    sets = simhash.position_sets()
+    assert len(sets) == 14
+    assert all(any(not set(s) & set(differ) for s in sets) for differ in itertools.combinations(range(8), 3))
+    assert (simhash.tally(np.array([0, 0xFF, 0x0101, 1 << 63 | 1], np.uint64)) == [8, 7, 6, 6]).all()
+
+
+@pytest.mark.parametrize("size", [1, 7, 10_000])
+def test_long_lists_go_on_whole(size):
+    """A list over several batches: all its members go on under each longer key, and its neighbours are linked."""
+    rng = np.random.default_rng(6)
+    key = 0x0F
+    shared = np.sort(rng.choice(1 << 30, 500, replace=False).astype(np.uint64) << np.uint64(32))
+    f = np.concatenate([[1, 3], shared, [9 << 20]]).astype(np.uint64)
+    s = f & np.uint64(0xFFFFFFFF)
+    order = np.lexsort((f, s))
+    f, s = f[order], s[order]
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array(np.full(len(f[a : a + size]), key, np.int16)), pa.array(s[a : a + size].view(np.int64)), pa.array(f[a : a + size].view(np.int64))], names=["p", "s", "f"])
+        for a in range(0, len(f), size)
+    ]
+    rows = [tuple(r.values()) for b in simhash._run_links(3, 50)(batches) for r in b.to_pylist()]
+    gone = {(p, b) for p, _, b in rows if p}
+    assert gone == {(key | 1 << fifth, int(v)) for fifth in range(4, 8) for v in shared}
+
+
 def test_representatives_keep_columns(docs, empty, spark):
     kept = simhash.keep_representatives(spark, docs)
     assert kept.columns == docs.columns
@@ -152,8 +183,8 @@ def test_representatives_keep_columns(docs, empty, spark):
 
 
 def test_long_path_component(spark):
-    links = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 500), (300, 301)], "a long, b long")
-    labels = {r.node: r.label for r in connected_components(spark, links, Workspace(spark, "t")).collect()}
+    links = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 500), (300, 301)], "head long, tail long")
+    labels = {r.id: r.component for r in components(spark, links).collect()}
     assert {labels[k] for k in range(201)} == {0} and labels[301] == 300
 
 
@@ -268,10 +299,78 @@ def test_mixed_documents_repeat_rows(docs, spark):
     assert Counter(r.doc_id for r in rows.collect()) == Counter({k: v for k, v in ((r[0], r[1]) for r in plan.groupBy("doc_id").sum("copies").collect()) if v})
 
 
-def test_entropy_balance_is_its_closed_form(spark):
-    sizes = spark.createDataFrame([("a", 3), ("a", 5), ("b", 100), (None, 7), ("z", 0)], "source string, size long")
-    targets = mixing.source_targets(sizes).persist()
-    solved = mixing.solve_multipliers(sizes, targets, Workspace(spark, "t")).collect()
-    for r in solved:
-        if r.target:
-            assert math.exp(r.multiplier) == pytest.approx(r.target / r.source_size, rel=1e-9)
+def dual_multiplier(sizes, target, limit=3.0):
+    """The multiplier whose capped tilt has ``target`` words, by bisection."""
+    low, high = -60.0, math.log(limit) / min(sizes)
+    tokens = lambda m: sum(n * min(limit, math.exp(min(50.0, m * n))) for n in sizes)
+    for _ in range(300):
+        middle = (low + high) / 2
+        low, high = (middle, high) if tokens(middle) < target else (low, middle)
+    return (low + high) / 2
+
+
+def brute_copies(rows, target):
+    """copies by (doc_id, size, n-th such row) of one source's rows (doc_id, size), before corrections."""
+    sizes = [n for _, n in rows if n]
+    m, at, out = dual_multiplier(sizes, target) if sizes else 0.0, 0.0, []
+    for key, n in sorted(rows, key=lambda r: (r[1], r[0] is None, r[0] or 0)):
+        if not n:
+            out.append((key, n, 1))
+            continue
+        rate = min(3.0, math.exp(m * n))
+        out.append((key, n, min(3, math.floor(at + rate + 0.5) - math.floor(at + 0.5))))
+        at += rate
+    return Counter(out)
+
+
+def test_mixing_is_the_rounded_dual_optimum(spark, docs):
+    """Rates are exp(multiplier * size) at most 3, their tokens meet the targets, and copies are their running steps."""
+    rng = np.random.default_rng(8)
+    rows = [(k if k % 9 else None, "w " * int(n), s) for k, (n, s) in enumerate(zip(rng.integers(0, 60, 400), rng.choice(["a", "b", "c", "d"], 400, p=[0.05, 0.1, 0.35, 0.5])))]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = defaultdict(Counter)
+    for r in mixing.mix_sources(spark, table, corrections=0).collect():
+        got[r.source][r.doc_id, r.size, r.copies] += 1
+    by_source = defaultdict(list)
+    for k, t, s in rows:
+        by_source[s].append((k, t.count("w")))
+    targets = brute_targets({s: sum(n for _, n in v) for s, v in by_source.items()})
+    assert any(t < sum(n for _, n in by_source[s]) for s, t in targets.items())
+    for s, own in by_source.items():
+        assert got[s] == brute_copies(own, targets[s]), s
+
+
+def test_newton_solves_the_dual(spark):
+    rows = [("a", 3, 2), ("a", 50, 1), ("b", 100, 3), (None, 7, 4), (None, 1, 1), ("c", 2, 9), ("c", 9000, 1)]
+    classes = spark.createDataFrame(rows, "source string, size long, n long")
+    whole = {s: sum(n * c for t, n, c in rows if t == s) for s in ("a", "b", None, "c")}
+    want = {"a": 3.0 * whole["a"], "b": 0.37 * whole["b"], None: 2.9 * whole[None], "c": 5.0}
+    targets = spark.createDataFrame([(s, whole[s], t) for s, t in want.items()], "source string, source_size long, target double")
+    solved = {r.source: r for r in mixing.solve_multipliers(classes, targets, Workspace(spark, "t")).collect()}
+    for s, t in want.items():
+        sizes = [n for u, n, c in rows if u == s for _ in range(c)]
+        assert solved[s].residual <= 1e-9 and solved[s].multiplier == pytest.approx(dual_multiplier(sizes, t), abs=1e-7)
+    with pytest.raises(RuntimeError, match="residual"):
+        mixing.solve_multipliers(classes, targets, Workspace(spark, "t"), turns=1, together=1)
+
+
+ODD = "doc_id long, text string, source string, _n int, _c string, _k int, _id long, row long, fp string, size string, copies int, `a.b` string, `times` int, tags map<string,int>"
+
+
+def test_columns_of_any_name_and_type_pass(spark):
+    rows = [(1, "one two three", "a", 777, "k", 5, 6, 7, "f", "s", 9, "d", 3, {"x": 1}), (2, "four five", "b", 888, "m", 5, 6, 7, "g", "t", 9, "e", 4, {"y": 2}), (None, None, None, None, None, None, None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, ODD)
+    own = {r.doc_id: r for r in docs.collect()}
+    mixed, kept = mixing.mixed_documents(spark, docs), simhash.keep_representatives(spark, docs)
+    assert mixed.schema == docs.schema and kept.schema == docs.schema
+    assert {r.doc_id for r in mixed.collect()} <= set(own) and all(r == own[r.doc_id] for r in mixed.collect())
+    assert sorted(kept.collect(), key=str) == sorted(own.values(), key=str)
+
+
+def test_many_equal_rows(spark):
+    """A hundred thousand equal rows, with and without an id: no row is lost, and each meets the rates."""
+    docs = spark.range(100_000).selectExpr("if(id % 2 = 0, null, 4L) doc_id", "'same words here' text", "'a' source").unionByName(spark.createDataFrame([(9, "one other text", "b")], "doc_id long, text string, source string"))
+    out = mixing.mix_sources(spark, docs).groupBy("source").agg({"*": "count", "copies": "sum"}).collect()
+    assert {r[0]: r["count(1)"] for r in out} == {"a": 100_000, "b": 1}
+    assert {r[0]: r["sum(copies)"] for r in out} == {"a": 99_998, "b": 3}
+    assert simhash.keep_representatives(spark, docs).count() == 2
