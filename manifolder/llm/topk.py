@@ -1,16 +1,23 @@
 """Exact top-k inner products by a three-phase uniform threshold.
 
-A score is the sum of partial scores over slices of the dimensions.  Queries
-and candidates travel as blocks of bounded size, each pair of blocks once a
-phase, and only lists of k entries for each query leave a pair:
+A score is the sum of partial scores over m slices of the dimensions.  Queries
+and candidates travel as blocks of bounded size, and only lists of k entries
+for each query leave a pair of blocks:
 
 1. Every pair makes the local score list of each slice (the k best partial
-   scores), and completes the scores of what is on the lists.  The k-th best
-   complete score of a query over all pairs is a lower bound of its k-th best.
-2. That cutoff travels with the query's block.  An entry can only reach it if
+   scores), and adds up the scores of what is on the lists, and of nothing
+   else.  The k-th best of a query over all pairs is a lower bound of its k-th
+   best score: the cutoff.
+2. The cutoff travels with the query's block.  An entry can only reach it if
    one of its m partial scores reaches cutoff / m, so every pair collects
-   those, and only those.
-3. What was collected is completed exactly; entries below the cutoff go, and
+   those.  By the inequality of Cauchy and Schwarz a partial score is at most
+   the product of the lengths of both slices: slices in which no query of the
+   block can reach its share are not computed for a candidate, and a candidate
+   with no slice left, or whose lengths all together fall short of every
+   cutoff, is passed over.  Candidates are blocked in order of their lengths,
+   so whole blocks are.
+3. What was collected is completed: the partial scores that phase 2 didn't
+   compute are, for collected entries alone.  Entries below the cutoff go, and
    the k best of each pair are merged into the k best of all.
 """
 
@@ -97,21 +104,36 @@ def _unpacked(ids: bytes, data: bytes, wide: int, exact: bool) -> tuple[np.ndarr
     return keys, np.frombuffer(data, "<i8").reshape(len(keys), wide)
 
 
-def partial_scores(queries: np.ndarray, candidates: np.ndarray, slices: int) -> list[np.ndarray]:
-    """Inner products over each slice of the dimensions, exactly; missing components count as 0."""
+def _cuts(wide: int, slices: int) -> list[slice]:
+    """The dimensions of each slice."""
+    ends = [wide * k // slices for k in range(slices + 1)]
+    return [slice(a, b) for a, b in zip(ends, ends[1:])]
+
+
+def _operands(queries: np.ndarray, candidates: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both over the dimensions they share, in a type in which their products and sums are exact."""
     wide = min(queries.shape[1], candidates.shape[1])
     q, c = queries[:, :wide], candidates[:, :wide]
     top = [int(np.abs(x).max()) if x.size else 0 for x in (q, c)]
     bound = top[0] * top[1] * max(1, wide)
     if bound < 1 << 53:
-        q, c = q.astype(np.float64), c.astype(np.float64)
-    elif bound >= 1 << 63:
-        q, c = q.astype(object), c.astype(object)
-    out = []
-    for cut in np.array_split(np.arange(wide), slices):
-        part = q[:, cut] @ c[:, cut].T if len(cut) else np.zeros((len(q), len(c)))
-        out.append(part.astype(np.int64) if part.dtype != object else part)
-    return out
+        return q.astype(np.float64), c.astype(np.float64)
+    kind = np.int64 if bound < 1 << 63 else object
+    return q.astype(kind), c.astype(kind)
+
+
+def partial_scores(queries: np.ndarray, candidates: np.ndarray, slices: int) -> list[np.ndarray]:
+    """Inner products over each slice of the dimensions, exactly; missing components count as 0."""
+    q, c = _operands(queries, candidates)
+    parts = [q[:, cut] @ c[:, cut].T for cut in _cuts(q.shape[1], slices)]
+    return [p if p.dtype == object else p.astype(np.int64) for p in parts]
+
+
+def _lengths_of(x: np.ndarray, cuts: list[slice]) -> np.ndarray:
+    """(rows, slices): the length of each row in each slice, rounded up."""
+    with np.errstate(over="ignore"):
+        parts = [np.sqrt((x[:, cut].astype(np.float64) ** 2).sum(axis=1)) for cut in cuts]
+    return np.minimum(np.stack(parts, axis=1) * (1 + 1e-12), 1e300)  # finite, so that 0 times it is 0
 
 
 def _clipped(scores: np.ndarray) -> np.ndarray:
@@ -143,19 +165,61 @@ def _phase_one(k: int, slices: int):
             for row in batch.to_pylist():
                 q_ids, q = _unpacked(row["q_ids"], row["q_data"], row["q_wide"], row["q_exact"])
                 c_ids, c = _unpacked(row["ids"], row["data"], row["wide"], row["exact"])
-                parts = partial_scores(q, c, slices)
-                total = _clipped(sum(parts))
-                found = []
+                parts, found = partial_scores(q, c, slices), []
                 for i, query in enumerate(q_ids):
                     other = np.flatnonzero(c_ids != query)
                     listed = np.unique(np.concatenate([other[_best(c_ids[other], p[i, other], k)] for p in parts]))
-                    top = listed[_best(c_ids[listed], total[i, listed], k)]
-                    found.append((query, c_ids[top], total[i, top]))
+                    score = _clipped(sum(p[i, listed] for p in parts))
+                    top = _best(c_ids[listed], score, k)
+                    found.append((query, c_ids[listed[top]], score[top]))
                 yield _rows(found)
 
     return run
 
 
+def collected(q: np.ndarray, c: np.ndarray, cutoffs: list[int | None], slices: int) -> tuple[list[np.ndarray], list[np.ndarray], int]:
+    """For each query the places and whole scores of what phases 2 and 3 collect, and the partial scores they computed.
+
+    A query without a cutoff collects everything.
+    """
+    q, c = _operands(q, c)
+    cuts = _cuts(q.shape[1], slices)
+    long_q, long_c = _lengths_of(q, cuts), _lengths_of(c, cuts)
+    # Partial scores are whole: an entry that reaches the cutoff has one of at least the share, rounded up.
+    shares = [None if t is None else -(-t // slices) for t in cutoffs]
+    open_ = any(t is None for t in cutoffs)
+    least = -np.inf if open_ else float(min(cutoffs))
+    fits = np.full(len(c), True) if open_ else (long_q.max(axis=0) * long_c).sum(axis=1) >= least
+    low = -np.inf if open_ else float(min(shares))
+    known = np.zeros((slices, len(c)), bool)  # candidates whose partial scores of a slice are computed
+    parts, work = [], 0
+    for s, cut in enumerate(cuts):
+        known[s] = fits & (long_q[:, s].max(initial=0) * long_c[:, s] >= low)
+        some = np.flatnonzero(known[s])
+        part = np.zeros((len(q), len(c)), object if q.dtype == object else np.int64)
+        product = q[:, cut] @ c[some, cut].T
+        part[:, some] = product if product.dtype == object else product.astype(np.int64)
+        parts.append(part)
+        work += product.size
+    places, scores = [], []
+    for i in range(len(q)):
+        reach = fits.copy() if cutoffs[i] is None else np.zeros(len(c), bool)
+        if cutoffs[i] is not None:
+            for s in range(slices):
+                reach |= known[s] & (parts[s][i] >= shares[i]).astype(bool)
+        at = np.flatnonzero(reach)
+        total = sum(p[i, at] for p in parts)
+        for s, cut in enumerate(cuts):
+            rest = np.flatnonzero(~known[s, at])
+            if len(rest):
+                more = c[at[rest], cut] @ q[i, cut]
+                total[rest] += more if more.dtype == object else more.astype(np.int64)
+                work += len(rest)
+        places.append(at)
+        scores.append(_clipped(total))
+    return places, scores, work
+
+
 def _phases_two_and_three(k: int, slices: int):
     def run(batches):
         for batch in batches:
@@ -163,24 +227,14 @@ def _phases_two_and_three(k: int, slices: int):
                 q_ids, q = _unpacked(row["q_ids"], row["q_data"], row["q_wide"], row["q_exact"])
                 c_ids, c = _unpacked(row["ids"], row["data"], row["wide"], row["exact"])
                 cutoffs = dict(zip(np.frombuffer(row["cut_ids"], "<i8").tolist(), np.frombuffer(row["cutoffs"], "<i8").tolist()))
-                parts = partial_scores(q, c, slices)
-                found = []
-                for i, query in enumerate(q_ids.tolist()):
-                    keep = c_ids != query
-                    cutoff = cutoffs.get(query)
-                    if cutoff is not None:
-                        share = -(-cutoff // slices)  # partial scores are whole: as much as the share, rounded up
-                        reach = parts[0][i] >= share
-                        for p in parts[1:]:
-                            reach |= p[i] >= share
-                        keep &= reach.astype(bool)
-                    collected = np.flatnonzero(keep)
-                    score = _clipped(sum(p[i, collected] for p in parts))
+                cutoffs, found = [cutoffs.get(query) for query in q_ids.tolist()], []
+                for query, cutoff, at, score in zip(q_ids, cutoffs, *collected(q, c, cutoffs, slices)[:2]):
+                    keep = c_ids[at] != query
                     if cutoff is not None:
-                        enough = np.asarray(score >= cutoff, bool)
-                        collected, score = collected[enough], score[enough]
-                    top = _best(c_ids[collected], score, k)
-                    found.append((query, c_ids[collected[top]], score[top]))
+                        keep &= score >= cutoff
+                    at, score = at[keep], score[keep]
+                    top = _best(c_ids[at], score, k)
+                    found.append((query, c_ids[at[top]], score[top]))
                 yield _rows(found)
 
     return run
@@ -195,12 +249,14 @@ def top_k(spark: SparkSession, vectors: DataFrame, every: int = 100, k: int = 5,
     zeros.  Rows that repeat an id are one query or candidate each: a
     candidate is listed once for each of its rows, and a query once, with the
     first of its rows by components.  Scores beyond 64 bits stop at its ends, where they tie.
-    Queries with no other vector have no rows.
+    Queries with no other vector have no rows, nor has an empty table; other
+    columns are not read.
     """
     ws = Workspace(spark, "topk")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x")).where("id is not null and x is not null and forall(x, v -> v is not null)")
     packed = "binary, data binary, wide int, exact boolean"
-    candidates = ws.table(rows.mapInArrow(_packed(candidate_rows, scale, "ids"), f"ids {packed}"), "candidates")
+    by_length = rows.sortWithinPartitions(F.aggregate("x", F.lit(0.0), lambda total, v: total + v * v).desc())
+    candidates = ws.table(by_length.mapInArrow(_packed(candidate_rows, scale, "ids"), f"ids {packed}"), "candidates")
     asked = rows.where(F.pmod("id", F.lit(every)) == 0).groupBy("id").agg(F.min("x").alias("x"))
     queries = ws.table(asked.mapInArrow(_packed(query_rows, scale, "q_ids"), f"q_ids {packed}"), "queries")
     queries = queries.select("q_ids", F.col("data").alias("q_data"), F.col("wide").alias("q_wide"), F.col("exact").alias("q_exact"))

@@ -3,10 +3,12 @@
 Tokens carry conservative log-odds of toxic against clean labelled documents
 under an informative Dirichlet prior, less a drift that makes clean text score
 negative.  A linear-time scan finds every maximal-scoring segment of a text.
-Scores of segments follow an extreme-value law whose decay comes from the
-token scores of clean text and whose location is fitted on clean documents;
-a document's evidence is its calibrated segments, turned into a probability by
-a logistic fit.
+The highest segment of a clean text follows an extreme-value law whose decay
+comes from the token scores of clean text and whose location is fitted on
+clean documents; a segment is significant if a clean text of that length has
+one as high with a probability of at most ``significance``.  A document's
+evidence is its calibrated segments, turned into a probability by a logistic
+fit.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -35,35 +37,48 @@ class Model:
     drift: float = 0.05
     decay: float = 1.0
     location: float = 0.0
+    significance: float = 0.01
     weights: tuple[float, ...] = (-3.0, 0.0, 0.0)
 
+    @property
+    def level(self) -> float:
+        """The excess from which on a segment is significant."""
+        return -math.log(-math.log1p(-self.significance))
+
 
 def maximal_segments(positions: list[int], scores: list[float], drift: float) -> list[tuple[int, int, float]]:
     """(first token, last token, score) of all maximal-scoring segments, left to right.
 
     ``positions`` are the tokens with a score of their own; every token, those
-    included, costs ``drift``.  One pass over the positions with a stack of
-    candidates, each token being pushed and merged at most once.
+    included, costs ``drift``.  One pass with a stack of candidates.  Each
+    candidate knows the nearest one before it that began at a lower running
+    score, so the search for that passes over a candidate at most once, and
+    the whole takes time in proportion to the positions.
     """
-    stack: list[tuple[int, int, float, float]] = []  # first, last, running score before and after
+    firsts, lasts, lefts, rights, lower = [], [], [], [], []
     running, previous = 0.0, -1
     for at, score in zip(positions, scores):
-        running -= drift * (at - previous - 1)
+        before = running - drift * (at - previous - 1)
         previous = at
-        before, running = running, running + score - drift
+        running = before + score - drift
         if score <= drift:
             continue
-        first, left, right = at, before, running
-        while stack:
-            k = len(stack) - 1
-            while k >= 0 and stack[k][2] >= left:
-                k -= 1
-            if k < 0 or stack[k][3] >= right:
+        first, left, k = at, before, len(lefts) - 1
+        while True:
+            while k >= 0 and lefts[k] >= left:
+                k = lower[k]
+            if k < 0 or rights[k] >= running:
                 break
-            first, left = stack[k][0], stack[k][2]
-            del stack[k:]
-        stack.append((first, at, left, right))
-    return [(first, last, right - left) for first, last, left, right in stack]
+            first, left = firsts[k], lefts[k]
+            below = lower[k]
+            del firsts[k:], lasts[k:], lefts[k:], rights[k:], lower[k:]
+            k = below
+        firsts.append(first)
+        lasts.append(at)
+        lefts.append(left)
+        rights.append(running)
+        lower.append(k)
+    return [(f, z, r - b) for f, z, b, r in zip(firsts, lasts, lefts, rights)]
 
 
 def _found(model: Model, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
@@ -78,16 +93,17 @@ def _excess(model: Model, n: int, score: float) -> float:
     return model.decay * score - math.log(max(n, 1)) - model.location
 
 
-def _features(model: Model, n: int, scores: list[float], level: float) -> tuple[float, float]:
-    """Of the highest segment score and of the sum of all that are significant."""
-    over = [x for x in (_excess(model, n, s) for s in scores) if x > level]
-    return math.log1p(max([0.0, *(model.decay * s for s in scores)])), math.log1p(sum(over) - level * len(over))
+def _features(model: Model, n: int, scores: list[float]) -> tuple[float, float]:
+    """Of the calibrated score of the highest segment, and of the sum of all that are significant."""
+    excesses = [_excess(model, n, s) for s in scores]
+    over = sum(x - model.level for x in excesses if x > model.level)
+    return math.log1p(max([0.0, *excesses])), math.log1p(over)
 
 
-def judged(model: Model, text: str | None, level: float) -> tuple[float, int, list[tuple[int, int, float]]]:
+def judged(model: Model, text: str | None) -> tuple[float, int, list[tuple[int, int, float]]]:
     """Probability of a text, its tokens and its segments."""
     n, segments = _found(model, text)
-    return probability(model, _features(model, n, [s for _, _, s in segments], level)), n, segments
+    return probability(model, _features(model, n, [s for _, _, s in segments])), n, segments
 
 
 def probability(model: Model, features: tuple[float, ...]) -> float:
@@ -135,6 +151,18 @@ def _scan(model: Model):
     return run
 
 
+def _evidence(model: Model):
+    """The features and class of scanned documents."""
+
+    def run(batches):
+        for batch in batches:
+            found = [_features(model, n, scores) for n, scores in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
+            arrays = [pa.array([f[k] for f in found], pa.float64()) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([*arrays, batch.column(1)], names=["best", "sum", "toxic"])
+
+    return run
+
+
 def _decay(model_scores: dict[str, float], clean_share: dict[str, float], drift: float) -> float:
     """The positive root of sum(share * exp(decay * score)) = 1 over tokens of clean text."""
     rest = 1 - sum(clean_share.values())
@@ -172,48 +200,49 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
     return tuple(map(float, out))
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = 20_000, folds: int = 5, least_documents: int = 4, caution: float = 3.0, prior: float = 0.5, drift: float = 0.05, level: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = 20_000, folds: int = 5, least_documents: int = 4, caution: float = 3.0, prior: float = 0.5, drift: float = 0.05, significance: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from at most ``most`` labelled documents outside the held-out fold.
 
-    That bound is the only one; it also bounds what the driver gathers.  Exact
-    copies count once.  A token's score is its log-odds with the Dirichlet
-    prior ``prior`` on each class, brought towards 0 by ``caution`` standard
-    deviations.  Without labels of both classes the model scores every text
-    below one half.
+    That bound is the only one.  The driver gathers two features of each of
+    these documents, and the tokens of at least ``least_documents`` of them
+    that tell the classes apart, which are the model.  Exact copies count
+    once.  A token's score is its log-odds with the Dirichlet prior ``prior``
+    on each class, brought towards 0 by ``caution`` standard deviations.
+    Without labels of both classes the model scores every text below one half.
     """
     sample = training_rows(docs, labels, most, folds, id_col, text_col)
-    rows = Workspace(spark, "toxicity").table(sample.groupBy("text").agg(F.max("toxic").alias("toxic")), "training")
+    ws = Workspace(spark, "toxicity")
+    rows = ws.table(sample.groupBy("text").agg(F.max("toxic").alias("toxic")), "training")
     counts = rows.mapInArrow(_token_documents, "token string, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    found = {t: (c, x) for t, c, x in counts.where((F.col("token") == "") | (F.col("clean") + F.col("toxic") >= least_documents)).collect()}
-    n_clean, n_toxic = found.pop("", (0, 0))
+    totals = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n_clean, n_toxic = totals.get(0, 0), totals.get(1, 0)
     if not n_clean or not n_toxic:
         return Model()
-    scores = {}
-    for token, (clean, toxic) in found.items():
-        odds = math.log((toxic + prior) / (n_toxic - toxic + prior)) - math.log((clean + prior) / (n_clean - clean + prior))
-        spread = math.sqrt(1 / (toxic + prior) + 1 / (clean + prior) + 1 / (n_toxic - toxic + prior) + 1 / (n_clean - clean + prior))
-        if abs(odds) > caution * spread:
-            scores[token] = math.copysign(abs(odds) - caution * spread, odds)
-    bare = Model(scores, drift)
-    scanned = rows.mapInArrow(_scan(bare), "n int, toxic int, scores array<double>").collect()
-    mean = max(1.0, float(np.mean([r.n for r in scanned if not r.toxic])))
-    share = {t: (found[t][0] + prior) / (n_clean + 1) / mean for t in scores}
-    decay = _decay(scores, share, drift)
-    peaks = [decay * max(r.scores) - math.log(max(r.n, 1)) for r in scanned if not r.toxic and r.scores]
-    location = float(np.mean(peaks)) - _EULER if peaks else 0.0
-    model = Model(scores, drift, decay, location)
-    x = np.array([_features(model, r.n, r.scores, level) for r in scanned])
-    weights = _logistic(x, np.array([r.toxic for r in scanned], float))
-    return Model(scores, drift, decay, location, weights)
-
-
-def score_documents(docs: DataFrame, model: Model, level: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    cells = [F.col("toxic") + prior, n_toxic - F.col("toxic") + prior, F.col("clean") + prior, n_clean - F.col("clean") + prior]
+    odds = F.log(cells[0] / cells[1]) - F.log(cells[2] / cells[3])
+    spread = F.sqrt(1 / cells[0] + 1 / cells[1] + 1 / cells[2] + 1 / cells[3])
+    sure = counts.where(F.col("clean") + F.col("toxic") >= least_documents).withColumns({"odds": odds, "margin": F.abs(odds) - spread * caution})
+    found = {r.token: r for r in sure.where("margin > 0").select("token", "clean", (F.signum("odds") * F.col("margin")).alias("score")).collect()}
+    scores = {t: found[t].score for t in sorted(found)}
+    scanned = ws.table(rows.mapInArrow(_scan(Model(scores, drift)), "n int, toxic int, scores array<double>"), "scanned")
+    clean = scanned.where("toxic = 0")
+    mean = max(1.0, clean.agg(F.avg("n")).first()[0])
+    decay = _decay(scores, {t: (found[t].clean + prior) / (n_clean + 1) / mean for t in scores}, drift)
+    peaks = clean.where(F.size("scores") > 0).agg(F.avg(F.array_max("scores") * decay - F.log(F.greatest("n", F.lit(1))))).first()[0]
+    model = Model(scores, drift, decay, peaks - _EULER if peaks is not None else 0.0, significance)
+    table = scanned.mapInArrow(_evidence(model), "best double, sum double, toxic int").toArrow()
+    features = np.column_stack([table.column(k).to_numpy() for k in range(2)])
+    return replace(model, weights=_logistic(features, table.column(2).to_numpy().astype(float)))
+
+
+def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, predicted, passages) for every row of ``docs``, in one pass without a shuffle.
 
     passages are the significant segments: first and last character, score,
     and the probability of one as high in a clean text of that length.  Null
     and empty texts have none and get the score of a text without evidence.
-    Repeated rows are scored each on their own; other columns are not read.
+    Repeated rows are scored each on their own, null ids too; other columns
+    are not read, and an empty table gives an empty result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     passage = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64()), ("p_value", pa.float64())]))
@@ -223,9 +252,9 @@ def score_documents(docs: DataFrame, model: Model, level: float = 0.0, id_col: s
             scores, passages = [], []
             for text in batch.column(1):
                 text = text.as_py()
-                score, n, segments = judged(model, text, level)
+                score, n, segments = judged(model, text)
                 scores.append(score)
-                strong = [s for s in segments if _excess(model, n, s[2]) > level]
+                strong = [s for s in segments if _excess(model, n, s[2]) > model.level]
                 if strong:
                     spans = [m.span() for m in _TOKEN.finditer(text.lower())]
                     strong = [{"first": spans[a][0], "last": spans[b][1] - 1, "score": s, "p_value": -math.expm1(-math.exp(-_excess(model, n, s)))} for a, b, s in strong]
@@ -237,13 +266,18 @@ def score_documents(docs: DataFrame, model: Model, level: float = 0.0, id_col: s
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def keep_clean(docs: DataFrame, model: Model, level: float = 0.0, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that the model predicts to be toxic; all columns are passed on."""
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that the model predicts to be toxic; all columns are passed on, whatever their names.
+
+    Null and empty texts stay, as the model scores them below one half unless
+    its training documents say otherwise; repeated rows are judged each, and
+    an empty table stays empty.
+    """
+    at = docs.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col))
-            clean = [judged(model, t.as_py(), level)[0] < 0.5 for t in texts]
+            clean = [judged(model, t.as_py())[0] < 0.5 for t in batch.column(at)]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -3,6 +3,7 @@
 import itertools
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -214,6 +215,80 @@ def test_segments_match_definition():
         assert got == brute_segments(scores), scores
 
 
+def test_segments_take_linear_time():
+    """A million positive tokens whose running sum falls, rises or wanders."""
+    walk = np.random.default_rng(1).normal(size=2_000_000).tolist()
+    for scores, found in (([1.0, -2.0] * 1_000_000, 1_000_000), ([1.0, -0.9] * 1_000_000, 1), (walk, None)):
+        began = time.process_time()
+        segments = toxicity.maximal_segments(range(len(scores)), scores, 0.0)
+        assert found in (None, len(segments)) and time.process_time() - began < 10  # the square would take hours
+
+
+def brute_model(rows, prior=0.5, caution=3.0, drift=0.05):
+    """Token scores, decay and location from (text, toxic) by their definitions."""
+    tokens = [(re.findall(r"\w+", t.lower()), y) for t, y in rows]
+    n = Counter(y for _, y in tokens)
+    seen = {y: Counter(w for t, z in tokens if z == y for w in set(t)) for y in (0, 1)}
+    scores = {}
+    for w in seen[0].keys() | seen[1].keys():
+        c, x = seen[0][w], seen[1][w]
+        if c + x < 4:
+            continue
+        odds = math.log((x + prior) / (n[1] - x + prior) / ((c + prior) / (n[0] - c + prior)))
+        spread = math.sqrt(sum(1 / (v + prior) for v in (x, n[1] - x, c, n[0] - c)))
+        if abs(odds) > caution * spread:
+            scores[w] = math.copysign(abs(odds) - caution * spread, odds)
+    mean = np.mean([len(t) for t, y in tokens if y == 0])
+    share = {w: (seen[0][w] + prior) / (n[0] + 1) / mean for w in scores}
+    total = lambda d: (1 - sum(share.values())) * math.exp(-d * drift) + sum(share[w] * math.exp(d * (s - drift)) for w, s in scores.items())
+    low, high = 1e-6, 5.0
+    if total(high) >= 1:
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if total(middle) < 1 else (low, middle)
+    decay = high
+    best = lambda t: [sum(s) for s in brute_parts([scores.get(w, 0.0) - drift for w in t])]
+    peaks = [decay * max(b) - math.log(len(t)) for t, y in tokens if y == 0 and (b := best(t))]
+    return scores, decay, np.mean(peaks) - 0.5772156649015329 if peaks else 0.0, best
+
+
+def brute_parts(scores):
+    return [scores[a : b + 1] for a, b in brute_segments(scores)]
+
+
+def test_fitted_score_by_brute_force(spark):
+    rng = np.random.default_rng(12)
+    words = [f"w{k}" for k in range(12)]
+    rows = []
+    for k in range(160):
+        bad = int(rng.random() < 0.4)
+        text = list(rng.choice(words, 12)) + (["vile", "foul"] if rng.random() < (0.9 if bad else 0.05) else [])
+        rows.append((k, " ".join(rng.permutation(text)), bad))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(spark, table.drop("toxic"), table.drop("text"))
+    train = {}
+    for k, t, y in rows:
+        if zlib.crc32(str(k).encode()) % 5:
+            train[t] = max(y, train.get(t, 0))
+    scores, decay, location, best = brute_model(list(train.items()))
+    assert model.scores == pytest.approx(scores) and model.decay == pytest.approx(decay, rel=1e-6) and model.location == pytest.approx(location, abs=1e-6)
+    level = -math.log(-math.log(0.99))
+
+    def features(text):
+        tokens = re.findall(r"\w+", text.lower())
+        excess = [decay * s - math.log(max(1, len(tokens))) - location for s in best(tokens)]
+        return [1.0, math.log1p(max([0.0, *excess])), math.log1p(sum(x - level for x in excess if x > level))]
+
+    x, y = np.array([features(t) for t in train]), np.array(list(train.values()), float)
+    w = np.array(model.weights)
+    assert (w[1:] >= 0).all() and w[1:].any()
+    used = np.array([True, *(w[1:] > 0)])  # at the optimum of the penalised likelihood its gradient is 0
+    assert np.abs((x.T @ (y - 1 / (1 + np.exp(-x @ w))) - 1e-2 * w)[used]).max() < 1e-5
+    for r in toxicity.score_documents(table, model).collect():
+        want = 1 / (1 + math.exp(-np.dot(features(rows[r.doc_id][1]), w)))
+        assert r.score == pytest.approx(want, abs=1e-6) and r.predicted == int(r.score >= 0.5)
+
+
 def test_toxicity_held_out_and_awkward_rows(docs, empty, spark):
     rng = np.random.default_rng(4)
     clean = [f"w{k}" for k in range(60)]

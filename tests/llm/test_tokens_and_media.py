@@ -253,6 +253,21 @@ def test_top_k(spark):
     assert {(r.query_id, r.rank): (r.vec_id, r.score) for r in got} == brute_top_k(rows, 50)
 
 
+def test_phases_two_and_three_complete_what_they_collect():
+    """Every entry at or above the cutoff, with its whole score; few partial scores where lengths differ."""
+    rng = np.random.default_rng(11)
+    q = rng.integers(-256, 256, (6, 16))
+    c = rng.integers(-256, 256, (300, 16)) * np.where(np.arange(300) < 60, 100, 1)[:, None]
+    c[:, 8:] //= np.where(np.arange(300) < 30, 50, 1)[:, None]
+    whole = q @ c.T
+    for cutoffs in ([int(np.sort(row)[-5]) for row in whole], [-(10**6)] * 6, [None, *[0] * 5]):
+        places, scores, work = topk.collected(q, c, cutoffs, 4)
+        for i in range(6):
+            assert (scores[i] == whole[i, places[i]]).all()
+            assert set(np.flatnonzero(whole[i] >= (-(1 << 62) if cutoffs[i] is None else cutoffs[i]))) <= set(places[i])
+    assert topk.collected(q, c, [int(np.sort(row)[-5]) for row in whole], 4)[2] < 6 * 300 * 4 / 4
+
+
 def test_top_k_few_and_none(spark):
     schema = "vec_id long, embedding array<float>, score long, data binary"
     few = spark.createDataFrame([(0, [1.0], 1, None), (50, [2.0], 1, None)], schema)
