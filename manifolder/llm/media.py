@@ -7,15 +7,19 @@ code gives a difference of category s a code word of 9 - s bits, which with
 its s extra bits and the one-bit end-of-block makes every block 10 bits long,
 so frames are packed and unpacked by array operations.
 
-Reading.  Chunks are found by the RIFF index (or by walking ``movi`` where it
-has none), and frames are decoded with the tables that they bring along.
-Frames whose code words make all blocks equally long are decoded all at once;
-others, including those with AC coefficients, block by block.
+Reading.  Chunks are found by the RIFF indexes (OpenDML's ``indx`` with its
+``ix##`` chunks, which reach beyond a gigabyte, or ``idx1``), or by walking
+every ``movi`` list where there is none.  Frames are decoded with the tables
+that they bring along, or with the standard ones where they leave them out, as
+motion-JPEG does.  Frames whose code words make all blocks equally long are
+decoded all at once; others, including those with AC coefficients, block by
+block.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from functools import lru_cache
@@ -61,6 +65,37 @@ _DC = [(9 - s, s) for s in range(8, -1, -1)]
 _AC = [(1, 0)]
 
 
+# The typical Huffman tables of the JPEG standard, as the number of codes of each length from 1 to 16
+# bits and the symbols in order; motion-JPEG frames may leave them out.
+_STANDARD = {
+    0x00: ("00010501010101010100000000000000", "000102030405060708090a0b"),
+    0x01: ("00030101010101010101010000000000", "000102030405060708090a0b"),
+    0x10: (
+        "0002010303020403050504040000017d",
+        "01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282090a161718191a25262728292a3435363738"
+        "393a434445464748494a535455565758595a636465666768696a737475767778797a838485868788898a92939495969798999aa2a3a4a5"
+        "a6a7a8a9aab2b3b4b5b6b7b8b9bac2c3c4c5c6c7c8c9cad2d3d4d5d6d7d8d9dae1e2e3e4e5e6e7e8e9eaf1f2f3f4f5f6f7f8f9fa",
+    ),
+    0x11: (
+        "00020102040403040705040400010277",
+        "0001020311040521310612415107617113223281081442"
+        "91a1b1c109233352f0156272d10a162434e125f11718191a262728292a35363738393a434445464748494a535455565758595a63646566"
+        "6768696a737475767778797a82838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aab2b3b4b5b6b7b8b9bac2c3c4c5c6c7c8"
+        "c9cad2d3d4d5d6d7d8d9dae2e3e4e5e6e7e8e9eaf2f3f4f5f6f7f8f9fa",
+    ),
+}
+
+
+def _lengths(counts: bytes, symbols: bytes) -> list[tuple[int, int]]:
+    """(bits, symbol) in order."""
+    return list(zip([n for n, c in enumerate(counts, 1) for _ in range(c)], symbols))
+
+
+@lru_cache(maxsize=1)
+def standard_tables() -> dict[int, list[tuple[int, int]]]:
+    return {kind: _lengths(bytes.fromhex(counts), bytes.fromhex(symbols)) for kind, (counts, symbols) in _STANDARD.items()}
+
+
 @lru_cache(maxsize=1)
 def _header() -> bytes:
     width, height = BLOCKS[0] * 8, BLOCKS[1] * 8
@@ -121,39 +156,73 @@ def store_payload(payload: bytes) -> bytes:
     return write_avi(encode_frames(payload), BLOCKS[0] * 8, BLOCKS[1] * 8)
 
 
+def _chunks(data: bytes, at: int, stop: int):
+    """(name, where the body begins, size) of the chunks between two places, as far as they are whole."""
+    while at + 8 <= stop:
+        name, size = data[at : at + 4], int.from_bytes(data[at + 4 : at + 8], "little")
+        yield name, at + 8, size
+        at += 8 + size + size % 2
+
+
+def _is_video(name: bytes) -> bool:
+    return name[2:] in (b"dc", b"db")
+
+
+def _indexed(data: bytes, at: int, size: int) -> list[tuple[int, int]]:
+    """(place, size) of the frames that an OpenDML index lists: of a super index those of all its parts."""
+    words, kind, n, name, base = struct.unpack_from("<HxBI4sQ", data, at)
+    if kind == 0:
+        out = []
+        for k in range(min(n, (size - 24) // 16)):
+            place, _, _ = struct.unpack_from("<QII", data, at + 24 + 16 * k)
+            out += _indexed(data, place + 8, int.from_bytes(data[place + 4 : place + 8], "little"))
+        return out
+    if kind != 1 or not _is_video(name):
+        return []
+    entries = (struct.unpack_from("<II", data, at + 24 + 4 * words * k) for k in range(min(n, (size - 24) // (4 * words))))
+    return [(base + place, length & 0x7FFFFFFF) for place, length in entries]  # the top bit marks what isn't a key frame
+
+
 def parse_avi(data: bytes) -> tuple[float, list[bytes]]:
-    """Frames a second and the compressed frames of the first video stream."""
+    """Frames a second and the compressed frames of the first video stream.
+
+    Later ``RIFF`` parts of a large file, ``AVIX``, are read, too.
+    """
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
-    fps, movi, end, index = float(FPS), 0, 0, b""
-    stack = [(12, min(len(data), 8 + int.from_bytes(data[4:8], "little")))]
+    fps, movies, index, opened = float(FPS), [], None, []
+    stack = [(body + 4, min(len(data), body + size)) for name, body, size in _chunks(data, 0, len(data)) if name == b"RIFF" and data[body : body + 4] in (b"AVI ", b"AVIX")][::-1]
     while stack:
-        at, stop = stack.pop()
-        while at + 8 <= stop:
-            name, size = data[at : at + 4], int.from_bytes(data[at + 4 : at + 8], "little")
-            if name == b"LIST" and data[at + 8 : at + 12] == b"movi":
-                movi, end = at + 8, at + 8 + size
+        for name, body, size in _chunks(data, *stack.pop()):
+            if name == b"LIST" and data[body : body + 4] == b"movi":
+                movies.append((body, min(len(data), body + size)))
             elif name == b"LIST":
-                stack.append((at + 12, at + 8 + size))
-            elif name == b"avih" and (us := int.from_bytes(data[at + 8 : at + 12], "little")):
+                stack.append((body + 4, body + size))
+            elif name == b"avih" and (us := int.from_bytes(data[body : body + 4], "little")):
                 fps = 1e6 / us
             elif name == b"idx1":
-                index = data[at + 8 : at + 8 + size]
-            at += 8 + size + size % 2
-    frames = []
-    if index:
+                index = data[body : body + size]
+            elif name == b"indx":
+                opened = opened or _indexed(data, body, size)
+    if opened:
+        return fps, [data[at : at + size] for at, size in opened]
+    if index and movies:
+        frames, movi = [], movies[0][0]
         for name, _, place, size in struct.iter_unpack("<4sIII", index[: len(index) // 16 * 16]):
-            if name[2:] in (b"dc", b"db"):
+            if _is_video(name):
                 at = movi + place if data[movi + place : movi + place + 4] == name else place
                 frames.append(data[at + 8 : at + 8 + size])
         return fps, frames
-    at = movi + 4
-    while at + 8 <= end:
-        name, size = data[at : at + 4], int.from_bytes(data[at + 4 : at + 8], "little")
-        if name[2:] in (b"dc", b"db"):
-            frames.append(data[at + 8 : at + 8 + size])
-        at += 8 + size + size % 2
-    return fps, frames
+    return fps, [data[body : body + size] for movi, end in movies for name, body, size in _walked(data, movi + 4, end) if _is_video(name)]
+
+
+def _walked(data: bytes, at: int, stop: int):
+    """The chunks of a ``movi`` list, and those of the ``rec `` lists in it."""
+    for name, body, size in _chunks(data, at, stop):
+        if name == b"LIST":
+            yield from _walked(data, body + 4, min(stop, body + size))
+        else:
+            yield name, body, size
 
 
 class _Frame:
@@ -161,13 +230,16 @@ class _Frame:
 
     def __init__(self, data: bytes):
         self.quant: dict[int, list[int]] = {}
-        self.huffman: dict[int, dict[tuple[int, int], int]] = {}
-        self.lengths: dict[int, list[tuple[int, int]]] = {}
+        self.lengths: dict[int, list[tuple[int, int]]] = dict(standard_tables())
         self.components: list[tuple[int, int, int, int]] = []
         self.tables: dict[int, tuple[int, int]] = {}
         self.restart = self.width = self.height = 0
         at = 2
+        if data[:2] != b"\xff\xd8":
+            raise ValueError("not a JPEG frame")
         while True:
+            while data[at + 1] == 0xFF:  # a marker may have fill bytes before it
+                at += 1
             marker, size = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
             body = data[at + 4 : at + 2 + size]
             at += 2 + size
@@ -180,9 +252,7 @@ class _Frame:
                 while body:
                     kind, counts = body[0], body[1:17]
                     symbols = body[17 : 17 + sum(counts)]
-                    bits = [n for n, c in enumerate(counts, 1) for _ in range(c)]
-                    self.lengths[kind] = list(zip(bits, symbols))
-                    self.huffman[kind] = {(b, c): s for s, (c, b) in _codes(self.lengths[kind]).items()}
+                    self.lengths[kind] = _lengths(counts, symbols)
                     body = body[17 + sum(counts) :]
             elif marker in (0xC0, 0xC1):
                 _, self.height, self.width, n = struct.unpack(">BHHB", body[:6])
@@ -250,72 +320,104 @@ def _cosines() -> np.ndarray:
     return basis
 
 
+def _lookup(lengths: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(bits, symbol) of the code that each 16-bit window begins with; 0 bits where none does."""
+    out = [(0, 0)] * (1 << 16)
+    for symbol, (code, bits) in _codes(lengths).items():
+        out[code << (16 - bits) : (code + 1) << (16 - bits)] = [(bits, symbol)] * (1 << (16 - bits))
+    return out
+
+
+@lru_cache(maxsize=16)
+def _lookup_of(lengths: tuple[tuple[int, int], ...]) -> list[tuple[int, int]]:
+    return _lookup(list(lengths))
+
+
+class _Bits:
+    """Bits of a scan through a window of 64, refilled as they are read; ones follow the end."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at, self.held, self.window = data, 0, 0, 0
+
+    def _fill(self) -> None:
+        more = self.data[self.at : self.at + 6]
+        self.at += 6
+        if len(more) < 6:
+            more += b"\xff" * (6 - len(more))
+        self.window = (self.window & (1 << self.held) - 1) << 48 | int.from_bytes(more, "big")
+        self.held += 48
+
+    def take(self, n: int) -> int:
+        if self.held < n:
+            self._fill()
+        self.held -= n
+        return self.window >> self.held & (1 << n) - 1
+
+    def symbol(self, table: list[tuple[int, int]]) -> int:
+        if self.held < 16:
+            self._fill()
+        bits, symbol = table[self.window >> (self.held - 16) & 0xFFFF]
+        if not bits or self.at > len(self.data) + 64:
+            raise ValueError("broken JPEG scan")
+        self.held -= bits
+        return symbol
+
+    def signed(self, n: int) -> int:
+        value = self.take(n) if n else 0
+        return value if not n or value >> (n - 1) else value - (1 << n) + 1
+
+
+def _scan_parts(scan: bytes) -> list[bytes]:
+    """The entropy-coded parts of a scan between its restart markers, without stuffed bytes."""
+    parts, begin = [], 0
+    for mark in re.finditer(rb"\xff+([^\x00\xff])", scan):
+        parts.append(scan[begin : mark.start()])
+        begin = mark.end()
+        if not 0xD0 <= mark[1][0] <= 0xD7:
+            break
+    else:
+        parts.append(scan[begin:])
+    return [p.replace(b"\xff\x00", b"\xff") for p in parts]
+
+
 def decode_jpeg(data: bytes) -> list[np.ndarray]:
     """The planes of any baseline JPEG, at the size of their own sampling."""
     frame = _Frame(data)
-    scan, bits_at = data[frame.scan :], 0
-    parts, held, k = [], bytearray(), 0
-    while k < len(scan):
-        if scan[k] == 0xFF and k + 1 < len(scan) and scan[k + 1]:
-            parts.append(bytes(held))
-            held = bytearray()
-            if not 0xD0 <= scan[k + 1] <= 0xD7:
-                break
-            k += 2
-            continue
-        held.append(scan[k])
-        k += 2 if scan[k] == 0xFF else 1
-    if held:
-        parts.append(bytes(held))
+    parts = _scan_parts(data[frame.scan :])
     hmax, vmax = max(c[1] for c in frame.components), max(c[2] for c in frame.components)
     across, down = -(-frame.width // (8 * hmax)), -(-frame.height // (8 * vmax))
-    planes = [np.zeros((down * v * 8, across * h * 8)) for _, h, v, _ in frame.components]
-    order, basis = zigzag(), _cosines()
-    before = [0] * len(planes)
-    part = 0
-    stream = int.from_bytes(parts[0], "big") if parts else 0
-    total = len(parts[0]) * 8 if parts else 0
-
-    def take(n: int) -> int:
-        nonlocal bits_at
-        bits_at += n
-        return (stream >> (total - bits_at)) & ((1 << n) - 1) if bits_at <= total else (1 << n) - 1
-
-    def symbol(table: dict[tuple[int, int], int]) -> int:
-        code = 0
-        for n in range(1, 17):
-            code = code << 1 | take(1)
-            if (n, code) in table:
-                return table[n, code]
-        raise ValueError("broken JPEG scan")
-
-    def signed(n: int) -> int:
-        value = take(n) if n else 0
-        return value if not n or value >> (n - 1) else value - (1 << n) + 1
-
+    shapes = [(down * v, across * h) for _, h, v, _ in frame.components]
+    coefficients = [np.zeros((rows * columns, 64), np.int32) for rows, columns in shapes]
+    order = [r * 8 + c for r, c in zigzag()]
+    tables = {name: (_lookup_of(tuple(frame.lengths[dc])), _lookup_of(tuple(frame.lengths[16 + ac]))) for name, (dc, ac) in frame.tables.items()}
+    before, part = [0] * len(shapes), 0
+    bits = _Bits(parts[0] if parts else b"")
     for mcu in range(across * down):
         if frame.restart and mcu and mcu % frame.restart == 0:
-            part, bits_at, before = part + 1, 0, [0] * len(planes)
-            stream, total = int.from_bytes(parts[part], "big"), len(parts[part]) * 8
-        for c, (name, h, v, q) in enumerate(frame.components):
-            dc, ac = frame.tables[name]
+            part, before = part + 1, [0] * len(shapes)
+            bits = _Bits(parts[part])
+        for c, (name, h, v, _) in enumerate(frame.components):
+            dc, ac = tables[name]
             for b in range(h * v):
-                block = np.zeros((8, 8))
-                before[c] += signed(symbol(frame.huffman[dc]))
-                block[0, 0] = before[c] * frame.quant[q][0]
+                block = coefficients[c][((mcu // across) * v + b // h) * shapes[c][1] + (mcu % across) * h + b % h]
+                before[c] += bits.signed(bits.symbol(dc))
+                block[0] = before[c]
                 at = 1
                 while at < 64:
-                    value = symbol(frame.huffman[16 + ac])
+                    value = bits.symbol(ac)
                     if value == 0:
                         break
                     at += value >> 4
                     if value & 15:
-                        block[order[at]] = signed(value & 15) * frame.quant[q][at]
+                        block[order[at]] = bits.signed(value & 15)
                     at += 1
-                pixels = np.clip(np.rint(basis @ block @ basis.T + 128), 0, 255)
-                row, column = ((mcu // across) * v + b // h) * 8, ((mcu % across) * h + b % h) * 8
-                planes[c][row : row + 8, column : column + 8] = pixels
-    return [p.astype(np.uint8) for p in planes]
+    basis, planes = _cosines(), []
+    for (rows, columns), values, (_, _, _, q) in zip(shapes, coefficients, frame.components):
+        scale = np.zeros(64)
+        scale[order] = frame.quant[q]
+        pixels = np.clip(np.rint(basis @ (values * scale).reshape(-1, 8, 8) @ basis.T + 128), 0, 255)
+        planes.append(pixels.reshape(rows, columns, 8, 8).transpose(0, 2, 1, 3).reshape(rows * 8, columns * 8).astype(np.uint8))
+    return planes
 
 
 def block_means(frames: list[bytes]) -> np.ndarray:
@@ -376,7 +478,12 @@ def _batches_of(column, most: int = 2_000_000):
 
 
 def text_to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, media): an AVI for the whole text of every row; a null text is an empty one."""
+    """(doc_id, n_bytes, media): an AVI for the whole text of every row.
+
+    A null text is an empty one and has a frame of spaces.  Repeated rows and
+    ids are stored each; an empty table stays empty; other columns are not
+    read.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -398,7 +505,8 @@ def clips(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") ->
     """(doc_id, clip, start_ms, end_ms, brightness): a row for each shot of every media value.
 
     Null or broken media give one row with null times, so no row of ``media``
-    is lost.
+    is lost.  Repeated rows and ids have their clips each; an empty table has
+    none; other columns are not read.
     """
     kind = media.schema[id_col].dataType.simpleString()
 
@@ -410,7 +518,7 @@ def clips(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") ->
                     fps, frames = parse_avi(data.as_py() or b"")
                     values = block_means(frames)
                     rows += [(key, k, round(1000 * a / fps), round(1000 * b / fps), float(values[a:b].mean())) for k, (a, b) in enumerate(shots(values))]
-                except (ValueError, KeyError, IndexError, struct.error):
+                except _BROKEN:
                     rows.append((key, 0, None, None, None))
             types = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 5, types)], names=["doc_id", "clip", "start_ms", "end_ms", "brightness"])
@@ -418,28 +526,57 @@ def clips(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") ->
     return media.select(F.col(id_col).alias("doc_id"), F.col(media_col).alias("media")).mapInArrow(run, f"doc_id {kind}, clip int, start_ms long, end_ms long, brightness double")
 
 
+def _features(fps: float, own: np.ndarray, data: bytes) -> tuple:
+    payload = own.tobytes()
+    found = shots(own)
+    longest = max((z - y for y, z in found), default=0)
+    mean = int(own.sum(dtype=np.int64)) * 1000 // max(1, own.size)
+    feature = f"frames={len(own)};shots={len(found)};longest_ms={round(1000 * longest / fps)};brightness={mean}"
+    return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature)
+
+
+_BROKEN = (ValueError, KeyError, IndexError, struct.error)
+
+
+def _read_back(stored: list[bytes | None]) -> list[tuple]:
+    """The features of each media value; values of one kind of frames are decoded all at once."""
+    try:
+        parsed = [parse_avi(m) for m in stored]
+        values = block_means([f for _, frames in parsed for f in frames])
+        ends = np.cumsum([len(frames) for _, frames in parsed])
+        return [_features(fps, values[z - len(frames) : z], data) for (fps, frames), z, data in zip(parsed, ends, stored)]
+    except (TypeError, *_BROKEN):  # some value is null, broken or of another kind: one by one
+        rows = []
+        for data in stored:
+            if data is None:
+                rows.append((None,) * 6)
+                continue
+            try:
+                fps, frames = parse_avi(data)
+                rows.append(_features(fps, block_means(frames), data))
+            except _BROKEN:
+                rows.append((None, None, None, len(data), hashlib.sha256(data).hexdigest(), None))
+        return rows
+
+
 def media_features(media: DataFrame) -> DataFrame:
-    """What is read back from (doc_id, n_bytes, media): payload, checksums and shot features."""
+    """What is read back from (doc_id, n_bytes, media): payload, checksums and shot features.
+
+    A null value has null features; one that can't be decoded has its own size
+    and checksum and otherwise nulls, so every row, repeated ones included, has
+    its row.  A film without frames has an empty payload.  An empty table gives
+    an empty result; other columns are not read.
+    """
     kind = media.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             for a, b in _batches_of(batch.column(2), 4_000_000):
                 some = batch.slice(a, b - a)
-                stored = some.column(2).to_pylist()
-                parsed = [parse_avi(m) for m in stored]
-                values = block_means([f for _, frames in parsed for f in frames])
-                rows, at = [], 0
-                for (fps, frames), data in zip(parsed, stored):
-                    own = values[at : at + len(frames)]
-                    at += len(frames)
-                    payload = own.tobytes()
-                    found = shots(own)
-                    longest = max(z - y for y, z in found)
-                    feature = f"frames={len(frames)};shots={len(found)};longest_ms={round(1000 * longest / fps)};brightness={int(own.sum(dtype=np.int64)) * 1000 // own.size}"
-                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature))
+                rows = _read_back(some.column(2).to_pylist())
                 types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], names=["doc_id", "n_bytes", *names])
 
-    return media.mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)

@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -210,6 +212,84 @@ def test_general_baseline_frame():
     assert np.abs(planes[0][:, :8].astype(float) - np.clip(np.rint(want + 128), 0, 255)).max() <= 1
 
 
+def standard_frame(rng, wide, high, share):
+    """A grey frame without Huffman tables, as motion-JPEG has them, and its coefficients in zigzag order."""
+    dc, ac = (media._codes(media.standard_tables()[k]) for k in (0x00, 0x10))
+    blocks = np.where(rng.random((wide * high, 64)) < share, rng.integers(-40, 40, (wide * high, 64)), 0)
+    bits, before = [], 0
+
+    def put(code, size, value):
+        bits.append(format(code[0], f"0{code[1]}b"))
+        if size:
+            bits.append(format(value if value > 0 else value + (1 << size) - 1, f"0{size}b"))
+
+    for block in blocks.tolist():
+        diff = block[0] - before
+        before = block[0]
+        put(dc[abs(diff).bit_length()], abs(diff).bit_length(), diff)
+        last = 0
+        for at in (k for k in range(1, 64) if block[k]):
+            while at - last > 16:
+                put(ac[0xF0], 0, 0)
+                last += 16
+            size = abs(block[at]).bit_length()
+            put(ac[(at - last - 1) << 4 | size], size, block[at])
+            last = at
+        if last < 63:
+            put(ac[0], 0, 0)
+    joined = "".join(bits)
+    joined += "1" * (-len(joined) % 8)
+    scan = b"".join(int(joined[k : k + 4096], 2).to_bytes(len(joined[k : k + 4096]) // 8, "big") for k in range(0, len(joined), 4096))
+    header = b"\xff\xd8" + media._segment(0xDB, bytes([0, *[2] * 64])) + media._segment(0xC0, bytes([8, *(high * 8).to_bytes(2, "big"), *(wide * 8).to_bytes(2, "big"), 1, 1, 0x11, 0]))
+    return header + media._segment(0xDA, bytes([1, 1, 0, 0, 63, 0])) + scan.replace(b"\xff", b"\xff\0") + b"\xff\xd9", blocks
+
+
+def test_frames_without_tables_use_the_standard_ones():
+    data, blocks = standard_frame(np.random.default_rng(3), 5, 4, 0.2)
+    plane = media.decode_jpeg(data)[0]
+    x = np.arange(8)
+    cosines = np.array([(np.sqrt(0.5) if u == 0 else 1) * np.cos((2 * x + 1) * u * np.pi / 16) / 2 for u in range(8)])
+    for k, block in enumerate(blocks):
+        want = sum(2 * value * np.outer(cosines[u], cosines[v]) for value, (u, v) in zip(block, media.zigzag()))
+        got = plane[k // 5 * 8 : k // 5 * 8 + 8, k % 5 * 8 : k % 5 * 8 + 8]
+        assert np.abs(got - np.clip(np.rint(want + 128), 0, 255)).max() <= 1
+
+
+def test_frame_of_a_megabyte():
+    data, _ = standard_frame(np.random.default_rng(4), 160, 120, 0.65)
+    assert len(data) > 1_000_000
+    began = time.process_time()
+    assert media.decode_jpeg(data)[0].shape == (960, 1280)
+    assert time.process_time() - began < 60
+
+
+def test_open_index_over_parts():
+    """Frames of an AVIX part are found by the super index, and by walking where there is no index."""
+    payload = bytes(range(192)) * 5
+    frames = media.encode_frames(payload)
+    chunk = media._chunk
+    first, second = (chunk(b"LIST", b"movi" + b"".join(chunk(b"00dc", f) for f in some)) for some in (frames[:3], frames[3:]))
+
+    def built(places):
+        parts = []
+        for base, some in zip(places, (frames[:3], frames[3:])):
+            at = base + 12 + np.cumsum([0, *[len(f) + len(f) % 2 + 8 for f in some]])
+            entries = b"".join(struct.pack("<II", a + 8, len(f)) for a, f in zip(at.tolist(), some))
+            parts.append(chunk(b"ix00", struct.pack("<HBBI4sQI", 2, 0, 1, len(some), b"00dc", 0, 0) + entries))
+        return parts
+
+    indexes = built((0, 0))
+    head = lambda a, b: chunk(b"LIST", b"hdrl" + chunk(b"LIST", b"strl" + chunk(b"indx", struct.pack("<HBBI4sQI", 4, 0, 0, 2, b"00dc", 0, 0) + struct.pack("<QIIQII", a, 32, 3, b, 32, 2))))
+    size = 12 + len(head(0, 0))
+    places = (size, size + len(first) + len(indexes[0]) + 12)
+    indexes = built(places)
+    data = lambda top: chunk(b"RIFF", b"AVI " + top + first + indexes[0]) + chunk(b"RIFF", b"AVIX" + second + indexes[1])
+    whole = data(head(places[0] + len(first), places[1] + len(second)))
+    assert media.parse_avi(whole)[1] == frames
+    assert media.parse_avi(data(b""))[1] == frames
+    assert media.block_means(frames).tobytes() == payload
+
+
 def test_shots_find_cuts():
     rng = np.random.default_rng(1)
     scenes = [rng.integers(a, a + 8, (n, 192)) for a, n in ((0, 30), (120, 20), (200, 25))]
@@ -231,6 +311,12 @@ def test_media_columns(docs, empty, spark):
     broken = spark.createDataFrame([(1, b"junk"), (2, None)], "doc_id long, media binary")
     assert [r.start_ms for r in media.clips(broken).collect()] == [None, None]
     assert media.media_features(media.text_to_media(empty)).count() == 0
+    odd = [(1, 0, b"junk"), (2, None, None), (3, 1, media.store_payload(b"x" * 192)), (3, 1, media.store_payload(b"x" * 192)), (4, 0, media.write_avi([], 128, 96)), (5, 9, media.store_payload(b"y" * 192)[:-300])]
+    got = [tuple(r)[1:] for r in media.media_features(spark.createDataFrame(odd, "doc_id long, n_bytes long, media binary").coalesce(1)).collect()]
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    assert got[0] == (0, None, None, None, 4, sha(b"junk"), None) and got[1] == (None,) * 7
+    assert got[2] == got[3] and got[2][1:4] == (192, sha(b"x" * 192), zlib.crc32(b"x" * 16)) and got[2][6].startswith("frames=1;shots=1;longest_ms=40;")
+    assert got[4][1:4] == (0, sha(b""), 0) and len(got) == 6 and got[5][4] == len(odd[5][2])
 
 
 def brute_top_k(rows, every, k=5, scale=256):
