@@ -59,11 +59,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_bytes(df: DataFrame, name: str = "text") -> int:
-    """UTF-8 bytes in a text column: what partition counts are derived from."""
-    return df.agg(F.coalesce(F.sum(F.octet_length(name)), F.lit(0))).first()[0]
-
-
 def parts_for(units: int, per_part: int, least: int = 1) -> int:
     """Partitions that hold about ``per_part`` units each, however many there are."""
     return max(least, -(-int(units) // per_part))

@@ -25,18 +25,18 @@ from pyspark.sql import functions as F
 
 from manifolder.llm import zdict
 from manifolder.llm.encoder import encoder
-from manifolder.llm.runtime import Workspace, open_fs
+from manifolder.llm.runtime import Workspace, column, open_fs, parts_for
 
 _MAGIC = b"MFTOKEN1"
 _FOOTER = struct.Struct("<QQQQ8s")
 
 
-def _train(docs: DataFrame, tokenizer: str, width: int, sample_docs: int) -> bytes:
-    """From the ``sample_docs`` documents that come first in hash order of their ids, whole."""
-    ids = docs.select("id").orderBy(F.xxhash64("id"), "id").limit(sample_docs)
-    rows = docs.join(F.broadcast(ids.distinct()), "id").orderBy(F.xxhash64("id"), "id").limit(sample_docs)
-    ids_of = encoder(tokenizer)
-    return zdict.train([np.frombuffer(ids_of.encode(r.text), "<u4").astype(f"<u{width}").tobytes() for r in rows.select("text").toLocalIterator()])
+def _train(rows: DataFrame, total: int, tokenizer: str, width: int, sample_docs: int) -> bytes:
+    def serialized(batch):
+        for data in encoder(tokenizer).encode_texts(batch.column(1)):
+            yield np.frombuffer(data, "<u4").astype(f"<u{width}").tobytes()
+
+    return zdict.train(zdict.sample(rows, total, serialized, sample_docs))
 
 
 def _footer(at: int, docs: int, width: int, dictionary: bytes) -> bytes:
@@ -129,23 +129,27 @@ def read_document(uri: str, path: str, doc_id: int) -> np.ndarray | None:
     return shard.document(k) if k < shard.has_id.sum() and shard.ids[k] == doc_id else None
 
 
-def write_store(spark: SparkSession, docs: DataFrame, uri: str, tokenizer: str, end_id: int = 2, vocabulary: int = 50_257, sample_docs: int = 2000, level: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_store(spark: SparkSession, docs: DataFrame, uri: str, tokenizer: str, end_id: int = 2, vocabulary: int = 50_257, sample_docs: int = 2000, level: int = 3, shard_bytes: int = 16_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write all of ``docs`` to ``uri``; returns the manifest (part, path, docs, tokens), a row for each shard.
 
     Null and empty texts are their end id alone.  Ids must be whole numbers;
     null ids come last, and rows that repeat an id are all written, in order
-    of a hash of their texts.  An empty table makes no shard.  The dictionary
-    is trained on ``sample_docs`` documents at most.
+    of a hash of their texts.  A shard has about ``shard_bytes`` of text,
+    however many rows share an id or a text; a longer text is one shard's.
+    An empty table makes no shard; other columns are not read.  The dictionary
+    is trained on about ``sample_docs`` documents.
     """
     width = 2 if max(vocabulary, end_id + 1) <= 1 << 16 else 4
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    dictionary = _train(rows, tokenizer, width, sample_docs)
+    rows = docs.select(column(id_col).cast("long").alias("id"), column(text_col).cast("string").alias("text"))
+    total, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    dictionary = _train(rows, total, tokenizer, width, sample_docs)
     fs, root = open_fs(uri)
     fs.create_dir(root, recursive=True)
     with fs.open_output_stream(f"{root}/dictionary") as f:
         f.write(dictionary)
-    order = F.col("id").asc_nulls_last()
-    dealt = rows.repartitionByRange(order).sortWithinPartitions(order, F.xxhash64("text"))
+    order = [F.col("id").asc_nulls_last(), F.col("hash"), F.col("row")]
+    placed = rows.select("id", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    dealt = placed.repartitionByRange(parts_for(size, shard_bytes), *order).sortWithinPartitions(*order).select("id", "text")
     written = dealt.mapInArrow(_writer(uri, tokenizer, end_id, width, dictionary, level), "part int, path string, docs long, tokens long")
     return spark.createDataFrame(sorted(written.collect()) or [], written.schema)
 

@@ -114,11 +114,12 @@ def duplicate_pages(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_
     return digests.join(firsts, ["sha1", "bytes"]).where("not (page_id <=> first)").select("page_id", "sha1", "first").distinct()
 
 
-def _train(pages: DataFrame, sample_records: int) -> bytes:
-    """From the ``sample_records`` records that come first in hash order of their pages, whole."""
-    ids = pages.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(sample_records)
-    rows = pages.join(F.broadcast(ids.distinct()), "page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(sample_records)
-    return zdict.train([make_record(r.page_id, r.url, (r.html or "").encode("utf-8", "surrogatepass")) for r in rows.select("page_id", "url", "html").toLocalIterator()])
+def _train(rows: DataFrame, sample_records: int) -> bytes:
+    def serialized(batch):
+        for r in batch.to_pylist():
+            yield make_record(r["page_id"], r["url"], (r["html"] or "").encode("utf-8", "surrogatepass"))
+
+    return zdict.train(zdict.sample(rows, rows.count(), serialized, sample_records))
 
 
 def _writer(uri: str, dictionary: bytes, level: int):
@@ -150,8 +151,8 @@ def write_archives(spark: SparkSession, pages: DataFrame, uri: str, least_bytes:
     The payload is the html in UTF-8, of null html the empty one.  Of pages
     with equal payloads of at least ``least_bytes`` that of the smallest id is
     the response, as are rows that repeat its id; a null id comes after all
-    others.  The dictionary is trained on ``sample_records`` records at most.
-    An empty table makes no archive.
+    others.  The dictionary is trained on about ``sample_records``
+    records.  An empty table makes no archive; other columns are not read.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     dictionary = _train(rows, sample_records)
