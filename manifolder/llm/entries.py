@@ -54,6 +54,14 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What mixing aims at: the part of op7_mixing that SQL can express, over all documents."""
+    sizes = mixing.document_sizes(read_table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+    targets = mixing.source_targets(sizes).withColumnRenamed("source", "of")
+    joined = sizes.join(targets, F.col("source").eqNullSafe(F.col("of")))
+    return joined.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.text_to_media(read_table(spark, sf_dir, "documents")))
 
@@ -66,7 +74,17 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(spark, read_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_stupid_backoff, op2_token_store, op3_simhash, op4_url_rules, op5_toxicity, op6_best_fit_packing, op7_mixing, op8_media, op9_top_k, op10_warc)}
-
-#: The others need hashes, tokenizers, trained models or media codecs that SQL lacks; mixing rounds rates step by step.
-SQL = {"op1_stupid_backoff": sql.STUPID_BACKOFF, "op4_url_rules": sql.URL_RULES, "op9_top_k": sql.TOP_K, "op10_warc": sql.WARC}
+_ALL = (
+    op1_stupid_backoff, op2_token_store, op3_simhash, op4_url_rules, op5_toxicity, op6_best_fit_packing, op7_mixing, op8_media,
+    op9_top_k, op10_warc, mixing_targets,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+
+#: The others need hashes, tokenizers, trained models or media codecs that SQL lacks; op7 solves and rounds step by step.
+SQL = {
+    "op1_stupid_backoff": sql.STUPID_BACKOFF,
+    "op4_url_rules": sql.URL_RULES,
+    "op9_top_k": sql.TOP_K,
+    "op10_warc": sql.WARC,
+    "mixing_targets": sql.MIXING_TARGETS,
+}

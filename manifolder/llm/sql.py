@@ -16,14 +16,15 @@ c2 AS (SELECT b, c, count(*) AS n FROM g WHERE b IS NOT NULL GROUP BY b, c),
 c3 AS (SELECT a, b, c, count(*) AS n FROM g WHERE a IS NOT NULL GROUP BY a, b, c),
 s AS (
   SELECT g.r,
-    CASE WHEN g.a IS NOT NULL AND c3.n >= 2 THEN ln(c3.n / x2.n)
+    CASE WHEN g.a IS NOT NULL AND c3.n >= 1 THEN ln(c3.n / x2.n)
          ELSE (CASE WHEN g.a IS NOT NULL THEN ln(0.4::DOUBLE) ELSE 0 END)
-            + CASE WHEN g.b IS NOT NULL AND c2.n >= 2 THEN ln(c2.n / x1.n)
+            + CASE WHEN g.b IS NOT NULL AND c2.n >= 1 THEN ln(c2.n / x1.n)
                    ELSE (CASE WHEN g.b IS NOT NULL THEN ln(0.4::DOUBLE) ELSE 0 END) + ln(c1.n / (SELECT count(*) FROM g)) END
     END AS v
   FROM g JOIN c1 USING (c) LEFT JOIN c2 USING (b, c) LEFT JOIN c3 USING (a, b, c)
   LEFT JOIN c1 x1 ON x1.c = g.b LEFT JOIN c2 x2 ON x2.b = g.a AND x2.c = g.b)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(cost, 0)::BIGINT AS cost_micronats
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(cost, 0)::BIGINT AS cost_micronats,
+  CASE WHEN len(w) > 0 THEN (cost // len(w))::BIGINT END AS cost_per_word
 FROM d LEFT JOIN (SELECT r, sum(-floor(v * 1e6 + 0.5)::BIGINT) AS cost FROM s GROUP BY r) USING (r)
 """
 
@@ -56,3 +57,14 @@ SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
   CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
 FROM p JOIN f USING (html)
 """
+
+MIXING_TARGETS = """
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
+p AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS nth FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][((nth - 1) % 3 + 1)::INT]::DOUBLE AS weight FROM p),
+f AS (SELECT *, 3 * source_size / weight AS fills FROM w),
+l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3.0::DOUBLE * source_size) OVER (ORDER BY fills, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY fills, nth ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM f),
+t AS (SELECT source, source_size, least(3.0::DOUBLE * source_size, coalesce((SELECT max(level) FROM l WHERE level <= fills), 0) * weight) AS target FROM l)
+SELECT doc_id, size, source_size, round(target, 3) AS target FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+"""

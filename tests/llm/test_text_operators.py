@@ -72,21 +72,40 @@ def brute_backoff(texts, order=3, least=2):
         yield len(w), cost
 
 
-def test_backoff(docs, spark, monkeypatch):
+@pytest.mark.parametrize(("order", "least"), [(3, 1), (3, 2), (1, 1), (2, 1), (4, 2), (5, 2)])
+def test_backoff(docs, spark, monkeypatch, order, least):
     monkeypatch.setattr(lm_score, "_BATCH_BYTES", 20_000)
     monkeypatch.setattr(lm_score, "_PARTITION_BYTES", 20_000)
-    got = Counter((r.doc_id, r.n_words, r.cost_micronats) for r in lm_score.stupid_backoff(spark, docs).collect())
-    want = Counter((r[0], *s) for r, s in zip(ROWS, brute_backoff([r[1] for r in ROWS])))
-    assert got == want
+    got = Counter(tuple(r) for r in lm_score.stupid_backoff(spark, docs, order, min_count=least).collect())
+    scores = brute_backoff([r[1] for r in ROWS], order, least)
+    assert got == Counter((r[0], n, cost, cost // n if n else None) for r, (n, cost) in zip(ROWS, scores))
 
 
 def test_backoff_empty(empty, spark):
     assert lm_score.stupid_backoff(spark, empty).count() == 0
 
 
-def test_hash_blobs_round_trip():
-    values = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 1000).astype(np.uint64) * np.uint64(2))
-    assert (lm_score._unpack(lm_score._pack(values)) == values).all()
+def test_packed_rows_round_trip():
+    rng = np.random.default_rng(1)
+    high = np.unique(rng.integers(0, 1 << 63, 1000).astype(np.uint64) * np.uint64(2))
+    low, times, follow = (rng.integers(0, 1 << 16, len(high)).astype(np.uint64) for _ in range(3))
+    words, word_times = rng.integers(0, 1 << 48, 700).astype(np.uint64), rng.integers(1, 1 << 40, 700).astype(np.uint64)
+    columns = (high, low, times, follow, words, word_times)
+    assert all((a == b).all() for a, b in zip(lm_score.unpack(lm_score.pack(*columns)), columns))
+    assert lm_score.unpack(lm_score.pack(*[c[:0] for c in columns]))[0].size == 0
+
+
+def test_contexts_are_told_apart_by_more_than_64_bits():
+    high, low = np.array([7, 3, 7, 7, 3], np.uint64), np.array([1, 9, 2, 1, 9], np.uint64)
+    first, group = lm_score.grouped(high, low)
+    assert group.tolist() == [1, 0, 2, 1, 0] and high[first].tolist() == [3, 7, 7] and low[first].tolist() == [9, 1, 2]
+
+
+def test_rows_never_outnumber_ngrams():
+    """With more hash partitions than n-grams a batch has a row for each context, not for each partition."""
+    batch = lm_score.Batch([b"a b c d", b"a b"])
+    ranges = list(lm_score._ranges(batch.entries(2, True), 1 << 31))
+    assert len(ranges) == 3
 
 
 def brute_fingerprint(text):
