@@ -15,20 +15,23 @@ Relations, all of them DataFrames:
 * Counts are joined to their batches, each word takes the counts of the
   n-grams that end at it, and its cost is summed for each document.
 
-A context is told apart by 80 bits of hash and a word after it by another 48,
-so a whole n-gram by 128.  Of m distinct contexts about m * m / 2 ** 81 pairs
-would share counts: none is to be expected among 10 ** 11.
+A context is told apart by 80 bits of hash and a word after it by another 47,
+so a whole n-gram by 127.  Of m distinct contexts about m * m / 2 ** 81 pairs
+would share counts: none is to be expected among 10 ** 11.  The most frequent
+words of a sample have short codes instead of hashes; that makes rows smaller
+and changes no count.
 """
 
 from __future__ import annotations
 
 import struct
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -57,15 +60,27 @@ def _mix(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
 
 
 def grouped(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place of the first of each distinct pair, group of each place), groups in ascending order."""
-    order = np.lexsort((low, high))
+    """(place of the first of each distinct pair, group of each place), groups in ascending order.
+
+    Sorted by ``high`` alone, unless equal ones turn out to differ in ``low``.
+    """
+    order = np.argsort(high, kind="stable")
+    high_sorted, low_sorted = high[order], low[order]
     new = np.ones(len(high), bool)
-    new[1:] = (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])
+    new[1:] = high_sorted[1:] != high_sorted[:-1]
+    if (~new[1:] & (low_sorted[1:] != low_sorted[:-1])).any():
+        order = np.lexsort((low, high))
+        new[1:] = (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])
     group = np.empty(len(high), np.int64)
     group[order] = np.cumsum(new) - 1
     return order[new], group
 
 
+def grouped_words(context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for the number of a context, below 2 ** 32, and a word: by 32 bits of the word, then by all."""
+    return grouped(context.astype(np.uint64) << np.uint64(32) | word & np.uint64(0xFFFFFFFF), word)
+
+
 def kinds(order: int) -> list[tuple[int, bool]]:
     """(words of the context, whether the word after it counts, too): what covers all n-grams up to ``order``."""
     out = [(n, True) for n in range(order - 1, 0, -2)]
@@ -75,13 +90,18 @@ def kinds(order: int) -> list[tuple[int, bool]]:
 class Batch:
     """Words of a batch of documents as hashes, and its n-grams by kind."""
 
-    def __init__(self, texts: list[bytes]):
-        words = [words_of(t) for t in texts]
-        self.sizes = np.fromiter(map(len, words), np.int64, len(words))
-        n, index = int(self.sizes.sum()), {}
-        at = np.fromiter((index.setdefault(w, len(index)) for ws in words for w in ws), np.int64, n)
+    def __init__(self, texts: list[bytes], codes: dict[bytes, int]):
+        index, sizes, places = {}, [], []
+        for text in texts:
+            words = words_of(text)
+            sizes.append(len(words))
+            places.append(np.fromiter((index.setdefault(w, len(index)) for w in words), np.int32, len(words)))
+        self.sizes = np.array(sizes, np.int64)
+        n, at = int(self.sizes.sum()), np.concatenate([*places, np.zeros(0, np.int32)])
         digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, index)), ">u8").reshape(-1, 2).astype(np.uint64)
-        self.high, self.low = digests[at, 0], digests[at, 1]
+        coded = np.fromiter((codes.get(w, -1) for w in index), np.int64, len(index))
+        words = np.where(coded >= 0, coded.astype(np.uint64), digests[:, 1] >> np.uint64(17) | np.uint64(1 << 47))
+        self.high, self.low, self.word = digests[at, 0], digests[at, 1], words[at]
         self.place = np.arange(n) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)  # in its document
         self.hashes = {1: (self.high, self.low)}
 
@@ -108,8 +128,8 @@ class Batch:
         inside = np.flatnonzero(at + 1 < len(self.place)) if follow else at[:0]
         inside = inside[self.place[at[inside] + 1] > 0]  # the next word is of the same document
         out["next_at"] = at[inside] + 1
-        word = self.low[out["next_at"]] >> np.uint64(16)
-        first, out["following"] = grouped(context[inside].astype(np.uint64), word)
+        word = self.word[out["next_at"]]
+        first, out["following"] = grouped_words(context[inside], word)
         out["words"], out["of"] = word[first], context[inside][first]
         out["word_times"] = np.bincount(out["following"], minlength=len(first))
         return out
@@ -204,17 +224,32 @@ def _texts(sizes: list[int], packed: bytes) -> list[bytes]:
     return [data[e - n : e] for e, n in zip(ends, sizes)]
 
 
+def _counted_words(batches):
+    for batch in batches:
+        seen = Counter(w for text in batch.column(0).to_pylist() for w in words_of((text or "").encode("utf-8", "surrogatepass")) if len(w) <= 64)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
+
+
+def frequent_words(rows: DataFrame, total: int, sample_docs: int = 4000, most: int = 1 << 16) -> dict[bytes, int]:
+    """A code for each of the ``most`` most frequent words, of 64 bytes at most, of about ``sample_docs`` documents."""
+    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 62))
+    chosen = rows.where(place < int((1 << 62) * min(1.0, sample_docs / max(1, total)))).select("text")
+    counts = chosen.mapInArrow(_counted_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = counts.orderBy(F.desc("n"), "word").limit(most).select("word").toArrow().column(0).to_pylist()
+    return {w: k for k, w in enumerate(found)}
+
+
 _GRAMS = "part long, kind int, batch long, entries binary"
 _COUNTS = "batch long, kind int, part long, counts binary"
 
 
-def _exploded(order: int, parts: int):
+def _exploded(order: int, parts: int, codes: Broadcast):
     """The n-grams of each batch: a row for each kind and hash partition that has any."""
 
     def run(batches):
         for some in batches:
             for r in some.to_pylist():
-                batch = Batch(_texts(r["sizes"], r["texts"]))
+                batch = Batch(_texts(r["sizes"], r["texts"]), codes.value)
                 for kind, (n, follow) in enumerate(kinds(order)):
                     e = batch.entries(n, follow)
                     each = np.bincount(e["of"], minlength=len(e["high"]))
@@ -236,7 +271,7 @@ def _counted(table: pa.Table) -> pa.Table:
     first, context = grouped(high, low)
     totals = np.bincount(context, times.astype(np.float64), len(first)).astype(np.int64)[context]
     of = np.repeat(context, follow.astype(np.int64))
-    first, following = grouped(of.astype(np.uint64), words)
+    first, following = grouped_words(of, words)
     word_totals = np.bincount(following, word_times.astype(np.float64), len(first)).astype(np.int64)[following]
     a, b, out = 0, 0, []
     for r in rows:
@@ -285,13 +320,13 @@ def backoff_micronats(found: list[np.ndarray], words: int, discount: float) -> n
 _COSTS = "batch long, nth long, doc_id {}, n_words long, cost_micronats long"
 
 
-def _scored(order: int, parts: int, discount: float, least: int, words: int, id_type: pa.DataType):
+def _scored(order: int, parts: int, codes: Broadcast, discount: float, least: int, words: int, id_type: pa.DataType):
     """A row for each document of a batch joined to its counts, and more for words whose longest seen n-gram is longer than one."""
 
     def run(batches):
         for some in batches:
             for r in some.to_pylist():
-                batch = Batch(_texts(r["sizes"], r["texts"]))
+                batch = Batch(_texts(r["sizes"], r["texts"]), codes.value)
                 found = _found(batch, r["answers"] or [], order, parts)
                 used = np.zeros(len(batch.place), np.int64)
                 for n, counts in enumerate(found[1:], 1):
@@ -325,17 +360,18 @@ def stupid_backoff(spark: SparkSession, docs: DataFrame, order: int = 3, discoun
     empty result; other columns are not read.
     """
     text = column(text_col).cast("string")
-    size, words = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)), F.coalesce(F.sum(F.regexp_count(text, F.lit(WORD))), F.lit(0))).first()
+    total, size, words = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)), F.coalesce(F.sum(F.regexp_count(text, F.lit(WORD))), F.lit(0))).first()
     rows = docs.select(column(id_col).alias("id"), text.alias("text"))
     kind = rows.schema["id"].dataType
     id_type, parts = to_arrow_type(kind), parts_for(size, _PARTITION_BYTES)
+    codes = spark.sparkContext.broadcast(frequent_words(rows, total))  # 65,536 words of 64 bytes at most
     packed = rows.mapInArrow(_batched(id_type), f"batch long, ids array<{kind.simpleString()}>, sizes array<long>, texts binary")
     batches = packed.repartition(parts_for(size, 2 * _BATCH_BYTES), "batch")  # both uses below read the same shuffle
-    grams = batches.mapInArrow(_exploded(order, parts), _GRAMS)
+    grams = batches.mapInArrow(_exploded(order, parts, codes), _GRAMS)
     tables = grams.groupBy("part", "kind").applyInArrow(_counted, _COUNTS)
     answers = tables.groupBy("batch").agg(F.collect_list(F.struct("kind", "part", "counts")).alias("answers"))
     joined = batches.join(answers, "batch", "left")
-    costs = joined.mapInArrow(_scored(order, parts, discount, min_count, words, id_type), _COSTS.format(kind.simpleString()))
+    costs = joined.mapInArrow(_scored(order, parts, codes, discount, min_count, words, id_type), _COSTS.format(kind.simpleString()))
     scored = costs.groupBy("batch", "nth").agg(F.first("doc_id").alias("doc_id"), F.sum("n_words").alias("n_words"), F.sum("cost_micronats").alias("cost_micronats"))
     per_word = F.when(F.col("n_words") > 0, F.expr("cost_micronats div n_words"))
     return scored.select("doc_id", "n_words", "cost_micronats", per_word.alias("cost_per_word"))

@@ -103,7 +103,7 @@ def test_contexts_are_told_apart_by_more_than_64_bits():
 
 def test_rows_never_outnumber_ngrams():
     """With more hash partitions than n-grams a batch has a row for each context, not for each partition."""
-    batch = lm_score.Batch([b"a b c d", b"a b"])
+    batch = lm_score.Batch([b"a b c d", b"a b"], {b"a": 0})
     ranges = list(lm_score._ranges(batch.entries(2, True), 1 << 31))
     assert len(ranges) == 3
 
