@@ -15,6 +15,9 @@ class ColumnOps:
     power = staticmethod(lambda x, y: F.pow(x, F.lit(float(y))))
     choose = staticmethod(lambda when, a, b: F.when(when, a).otherwise(b))
     value = staticmethod(lambda x: F.lit(float(x)))
+    floor = staticmethod(F.floor)
+    ceil = staticmethod(F.ceil)
+    most = staticmethod(lambda x, y: F.greatest(x, F.lit(y).cast("long")))
 
 
 class ArrayOps:
@@ -29,6 +32,9 @@ class ArrayOps:
 
     choose = staticmethod(np.where)
     value = staticmethod(float)
+    floor = staticmethod(np.floor)
+    ceil = staticmethod(np.ceil)
+    most = staticmethod(np.maximum)
 
 
 def kernel(ops, d2, a: float, b: float):

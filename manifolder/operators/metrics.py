@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans, PowerIterationClustering
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from manifolder.functions.vector import squared_distance
+from manifolder.operators.blocks import distances, packed, unpacked
 from manifolder.operators.graph import components
 from manifolder.operators.knn import knn_exact
+from manifolder.operators.session import Scratch
 
 
 def dense_ids(df: DataFrame, key: str, name: str = "nth", block: int = 65_536) -> DataFrame:
@@ -63,21 +68,23 @@ def v_measure(assigned: DataFrame, beta: float = 1.0) -> DataFrame:
 def dbscan(spark: SparkSession, points: DataFrame, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
     """(id, cluster) of ``points`` (id, x): clusters of core points within ``eps``; noise is -1.
 
-    Points meet in the cells, of side ``eps`` on the first two coordinates,
-    around their own; a border point joins the smallest cluster in reach.
+    Points meet in the cells, of side ``eps`` on the up to three coordinates
+    that spread most, around their own; a border point joins the smallest
+    cluster in reach.  No points give no rows.
     """
-    wide = 2
-    cell = [F.floor(F.col("x")[k] / eps) for k in range(wide)]
-    own = points.select("id", "x", F.array(*cell).alias("cell"))
-    around = F.array(*[F.array(F.col("cell")[0] + a, F.col("cell")[1] + b) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    scratch = Scratch(spark, "dbscan")
+    ends = points.select(F.posexplode("x").alias("k", "v")).groupBy("k").agg((F.max("v") - F.min("v")).alias("spread"))
+    wide = [r.k for r in ends.orderBy(F.desc("spread"), "k").limit(3).collect()]
+    own = points.select("id", "x", F.array(*[F.floor(F.col("x")[k] / eps) for k in wide]).alias("cell"))
+    around = F.array(*[F.array(*[F.col("cell")[k] + step for k, step in enumerate(steps)]) for steps in product((-1, 0, 1), repeat=len(wide))])
     other = own.select(F.col("id").alias("j"), F.col("x").alias("xj"), F.explode(around).alias("cell"))
-    near = own.join(other, "cell").where(squared_distance(F.col("x"), F.col("xj")) <= eps * eps).select(F.col("id").alias("i"), "j").persist()
+    near = own.join(other, "cell").where(squared_distance(F.col("x"), F.col("xj")) <= eps * eps)
+    near = scratch.keep(near.select(F.col("id").alias("i"), "j"), "near")
     core = near.groupBy("i").count().where(F.col("count") >= min_samples).select(F.col("i").alias("core"))
     links = near.join(core, near["i"] == core["core"], "left_semi").join(core.withColumnRenamed("core", "c2"), F.col("j") == F.col("c2"), "left_semi")
     found = components(spark, links.select(F.col("i").alias("head"), F.col("j").alias("tail")), core.select(F.col("core").alias("id")))
     border = near.join(found, near["j"] == found["id"]).groupBy("i").agg(F.min("component").alias("reached"))
     joined = points.select("id").join(found, "id", "left").join(border.withColumnRenamed("i", "id"), "id", "left")
-    near.unpersist()
     return joined.select("id", F.coalesce("component", "reached", F.lit(-1)).alias("cluster"))
 
 
@@ -108,56 +115,115 @@ def standardized(points: DataFrame) -> DataFrame:
     return points.crossJoin(F.broadcast(ends)).withColumn("x", F.transform("x", lambda v: (v - F.col("low")) / (F.col("high") - F.col("low")) - 0.5)).drop("low", "high")
 
 
+def _block_pairs(points: DataFrame, run, schema: str, rows: int = 512) -> DataFrame:
+    """``run`` over (ids, x, labels) of every pair of blocks of points, each unordered pair once."""
+
+    def labelled(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, x = unpacked(row)
+                yield ids, x[:, 1:], x[:, 0]
+
+    def pairs(batches):
+        for batch in batches:
+            left = pa.RecordBatch.from_arrays(batch.columns[:3], names=["ids", "data", "wide"])
+            right = pa.RecordBatch.from_arrays(batch.columns[3:], names=["ids", "data", "wide"])
+            for a, b in zip(labelled([left]), labelled([right])):
+                yield from run(a, b)
+
+    table = points.select("id", F.concat(F.array(F.col("label").cast("double")), F.col("x")).alias("x"))
+    return packed(table, rows).crossJoin(packed(table, rows, "b_")).mapInArrow(pairs, schema)
+
+
+def _class_pairs(a, b, as_published: bool):
+    """(class, class, distances) of a pair of blocks: of points of different classes, smaller first, or of the same one."""
+    (_, x, lx), (_, y, ly) = a, b
+    for u in np.unique(lx):
+        for v in np.unique(ly):
+            if u == v if as_published else u < v:
+                yield u, v, distances(x[lx == u], y[ly == v], "euclidean").ravel()
+
+
+_BINS = 4096
+
+
 def cluster_distances(points: DataFrame, as_published: bool = False) -> DataFrame:
     """(a, b, distance): the tenth-percentile distance between classes a < b, after standardizing.
 
     The value is the one in place n // 10 of the sorted n distances.  With
     ``as_published`` class a is measured against itself, zeros included.
+    Pairs of blocks count their distances in bins; a second pass over pairs
+    gives those of the one bin where the place lies, and nothing else is sorted.
     """
-    p = standardized(points)
-    left = p.select(F.col("label").alias("a"), F.col("id").alias("i"), F.col("x").alias("xi"))
-    right = p.select(F.col("label").alias("c"), F.col("id").alias("j"), F.col("x").alias("xj"))
-    pairs = left.join(right, F.col("a") == F.col("c") if as_published else F.col("a") < F.col("c"))
-    each = pairs.select("a", F.col("c").alias("b"), F.sqrt(squared_distance(F.col("xi"), F.col("xj"))).alias("d"))
-    w = Window.partitionBy("a", "b")
-    picked = each.withColumn("n", F.count("*").over(w)).withColumn("r", F.row_number().over(w.orderBy("d"))).where("r = floor(n / 10) + 1").select("a", "b", F.col("d").alias("distance"))
+    p = standardized(points).select("id", "x", "label")
+    wide = p.agg(F.max(F.size("x"))).first()[0]
+    if wide is None:
+        return points.select(F.col("label").alias("a"), F.col("label").alias("b"), F.lit(0.0).alias("distance"))
+    width = max(float(np.sqrt(wide)), 1e-300) * (1 + 1e-9) / _BINS  # coordinates are within one of each other
+
+    def counted(a, b):
+        for u, v, d in _class_pairs(a, b, as_published):
+            n = np.bincount((d / width).astype(np.int64), minlength=_BINS)
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), u)), pa.array(np.full(len(some), v)), pa.array(some), pa.array(n[some])], names=["a", "b", "bin", "n"])
+
+    bins = _block_pairs(p, counted, "a double, b double, bin long, n long").groupBy("a", "b", "bin").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy("a", "b").orderBy("bin")
+    placed = bins.withColumn("total", F.sum("n").over(Window.partitionBy("a", "b"))).withColumn("before", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    place = F.floor(F.col("total") / 10)
+    rows = placed.where((F.col("before") <= place) & (place < F.col("before") + F.col("n"))).select("a", "b", "bin", (place - F.col("before")).alias("place")).collect()
+    wanted = {(r.a, r.b): r.bin for r in rows}  # a row for each pair of classes
+
+    def picked(a, b):
+        for u, v, d in _class_pairs(a, b, as_published):
+            own = d[(d / width).astype(np.int64) == wanted[u, v]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), u)), pa.array(np.full(len(own), v)), pa.array(own)], names=["a", "b", "distance"])
+
+    spark = points.sparkSession
+    places = spark.createDataFrame([(r.a, r.b, r.place) for r in rows], "a double, b double, place long")
+    nth = F.row_number().over(Window.partitionBy("a", "b").orderBy("distance")) - 1
+    found = _block_pairs(p, picked, "a double, b double, distance double").withColumn("nth", nth).join(F.broadcast(places), ["a", "b"]).where("nth = place")
+    kind = points.schema["label"].dataType
+    found = found.select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"), "distance")
     if not as_published:
-        return picked
+        return found
     labels = points.select(F.col("label").alias("l")).distinct()
-    return picked.select("a", "distance").join(labels, F.col("a") < F.col("l")).select("a", F.col("l").alias("b"), "distance")
+    return found.select("a", "distance").join(labels, F.col("a") < F.col("l")).select("a", F.col("l").alias("b"), "distance")
 
 
 def intra_inter(points: DataFrame) -> DataFrame:
-    """(intra, inter): mean distance of pairs of equal and of different labels."""
-    a = points.select(F.col("id").alias("i"), F.col("x").alias("xi"), F.col("label").alias("li"))
-    b = points.select(F.col("id").alias("j"), F.col("x").alias("xj"), F.col("label").alias("lj"))
-    pairs = a.join(b, F.col("i") < F.col("j")).select(F.sqrt(squared_distance(F.col("xi"), F.col("xj"))).alias("d"), (F.col("li") == F.col("lj")).alias("same"))
-    return pairs.agg(F.avg(F.when(F.col("same"), F.col("d"))).alias("intra"), F.avg(F.when(~F.col("same"), F.col("d"))).alias("inter"))
+    """(intra, inter): mean distance of pairs of equal and of different labels; sums leave each pair of blocks."""
+
+    def sums(a, b):
+        (i, x, lx), (j, y, ly) = a, b
+        d, later = distances(x, y, "euclidean"), i[:, None] < j[None, :]
+        same = (lx[:, None] == ly[None, :]) & later
+        cells = [(k, float(d[of].sum()), int(of.sum())) for k, of in ((True, same), (False, later & ~same))]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*cells)], names=["same", "total", "n"])
+
+    each = _block_pairs(points.select("id", "x", "label"), sums, "same boolean, total double, n long").where("n > 0")
+    mean = lambda of: F.sum(F.when(of, F.col("total"))) / F.sum(F.when(of, F.col("n")))
+    return each.agg(mean(F.col("same")).alias("intra"), mean(~F.col("same")).alias("inter"))
 
 
 def pca(points: DataFrame, dim: int = 2) -> DataFrame:
-    """(id, y): principal component scores from one pass of sums and one of products; signs by the largest loading."""
-    first = points.select("x").first()
-    if first is None:
+    """(id, y): principal component scores from one pass of sums and products; signs by the largest loading."""
+
+    def moments(batches):
+        n, s, ss = 0, 0.0, 0.0
+        for batch in batches:
+            if batch.num_rows:
+                m = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1)
+                n, s, ss = n + len(m), s + m.sum(axis=0), ss + m.T @ m
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([s.tolist()]), pa.array([ss.ravel().tolist()])], names=["n", "s", "ss"])
+
+    parts = points.select(F.col("x").cast("array<double>").alias("x")).mapInArrow(moments, "n long, s array<double>, ss array<double>").toArrow()
+    if not parts.num_rows:
         return points.select("id", F.col("x").alias("y"))
-    wide = len(first.x)
-
-    def moments(it):
-        n, s, ss = 0, np.zeros(wide), np.zeros((wide, wide))
-        rows = []
-        for r in it:
-            rows.append(r.x)
-            if len(rows) == 4096:
-                m = np.array(rows)
-                n, s, ss, rows = n + len(m), s + m.sum(axis=0), ss + m.T @ m, []
-        if rows:
-            m = np.array(rows)
-            n, s, ss = n + len(m), s + m.sum(axis=0), ss + m.T @ m
-        yield n, s, ss
-
-    n, s, ss = points.select("x").rdd.mapPartitions(moments).treeReduce(lambda a, b: tuple(u + v for u, v in zip(a, b)))
-    mean = s / n
-    _, vectors = np.linalg.eigh(ss / n - np.outer(mean, mean))
+    n = sum(parts.column("n").to_pylist())
+    mean, products = (sum(np.array(v) for v in parts.column(name).to_pylist()) / n for name in ("s", "ss"))
+    _, vectors = np.linalg.eigh(products.reshape(len(mean), -1) - np.outer(mean, mean))
     top = vectors[:, ::-1][:, :dim]
     top = top * np.where(top[np.abs(top).argmax(axis=0), np.arange(top.shape[1])] < 0, -1.0, 1.0)
     lit = [F.array(*[F.lit(float(v)) for v in top[:, k]]) for k in range(top.shape[1])]

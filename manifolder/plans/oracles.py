@@ -168,7 +168,7 @@ SQL = {
     "standardized_points": _with(POINTS) + "SELECT id, round((x[1] - lo) / (hi - lo) - 0.5, 6) AS x0 FROM p, (SELECT min(list_min(x)) AS lo, max(list_max(x)) AS hi FROM p)",
     "tiled_dimensions": _with(POINTS) + "SELECT id, round(x[(99 % len(x)) + 1], 6) AS x99, 100 AS dim FROM p",
     "dense_numbering": "SELECT c_name, row_number() OVER (ORDER BY c_name) - 1 AS nth FROM customer",
-    "centered_kernel": _with(POINTS, f"v AS (SELECT a.id AS i, b.id AS j, {_d2('a.x', 'b.x')} AS v FROM p a, p b)") + "SELECT i, j, round(v - avg(v) OVER (PARTITION BY i) - avg(v) OVER (PARTITION BY j) + avg(v) OVER (), 6) AS k FROM v",
+    "centered_kernel": _with(POINTS, f"v AS (SELECT a.id AS i, b.id AS j, {_d2('a.x', 'b.x')} AS v FROM p a, p b)") + "SELECT i, j, round(v - avg(v) OVER (PARTITION BY i) - avg(v) OVER (PARTITION BY j) + avg(v) OVER (), 6) + 0.0 AS k FROM v",
     **{f"gradient_field_{kind}": _field(kind) for kind in ("pca", "tsne", "frob_tsne", "umap", "frob_umap")},
     "entropy_sigma": _with(*NEAR, "c AS (SELECT i, list(pow(d, 4.0) ORDER BY rank) AS ds FROM knn GROUP BY i)", f"""s AS (SELECT i, [e - list_min(ds) FOR e IN ds] AS t, 0::DOUBLE AS lo, 'inf'::DOUBLE AS hi, 1::DOUBLE AS mid, 0 AS n FROM c
       UNION ALL

