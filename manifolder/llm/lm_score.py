@@ -39,7 +39,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from manifolder.llm.runtime import WORD, column, parts_for
 
 #: Text bytes in a batch of documents, and in what a hash partition of n-grams comes from.
-_BATCH_BYTES = 12_000_000
+_BATCH_BYTES = 8_000_000
 _PARTITION_BYTES = 8_000_000
 
 _HEAD = struct.Struct("<QQ")
@@ -366,10 +366,11 @@ def stupid_backoff(spark: SparkSession, docs: DataFrame, order: int = 3, discoun
     id_type, parts = to_arrow_type(kind), parts_for(size, _PARTITION_BYTES)
     codes = spark.sparkContext.broadcast(frequent_words(rows, total))  # 65,536 words of 64 bytes at most
     packed = rows.mapInArrow(_batched(id_type), f"batch long, ids array<{kind.simpleString()}>, sizes array<long>, texts binary")
-    batches = packed.repartition(parts_for(size, 2 * _BATCH_BYTES), "batch")  # both uses below read the same shuffle
+    dealt = parts_for(size, 2 * _BATCH_BYTES)
+    batches = packed.repartition(dealt, "batch")  # both uses below read the same shuffle
     grams = batches.mapInArrow(_exploded(order, parts, codes), _GRAMS)
     tables = grams.groupBy("part", "kind").applyInArrow(_counted, _COUNTS)
-    answers = tables.groupBy("batch").agg(F.collect_list(F.struct("kind", "part", "counts")).alias("answers"))
+    answers = tables.repartition(dealt, "batch").groupBy("batch").agg(F.collect_list(F.struct("kind", "part", "counts")).alias("answers"))
     joined = batches.join(answers, "batch", "left")
     costs = joined.mapInArrow(_scored(order, parts, codes, discount, min_count, words, id_type), _COSTS.format(kind.simpleString()))
     scored = costs.groupBy("batch", "nth").agg(F.first("doc_id").alias("doc_id"), F.sum("n_words").alias("n_words"), F.sum("cost_micronats").alias("cost_micronats"))
