@@ -237,20 +237,21 @@ def mix_sources(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...]
     on partitions or random numbers.
     """
     ws = Workspace(spark, "mix")
-    sizes, _ = numbered(ws, document_sizes(docs, id_col, text_col, source_col))
+    sizes = document_sizes(docs, id_col, text_col, source_col).withColumn("row", F.monotonically_increasing_id())
+    sizes = ws.table(sizes, "sizes")  # written once, so that a row keeps its number
     return _planned(ws, sizes, weights, limit, corrections).drop("row")
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), limit: int = 3, corrections: int = 4, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` with each row repeated as often as the mix takes it; all columns are passed on, whatever their names.
 
-    Rows and their copies are matched by a number that each row of the table
-    gets, so null and repeated ids, texts and whole rows are no matter.  Null
+    Rows and their copies are matched by what tells apart even equal rows, so null and repeated ids, texts and whole rows are no matter.  Null
     and empty texts have size 0 and stay once; an empty table stays empty.
     """
     ws = Workspace(spark, "mixed")
-    whole, (row, size) = numbered(ws, docs, size=_size(text_col))
-    sizes = whole.select(column(row).alias("row"), column(id_col).alias("doc_id"), column(source_col).cast("string").alias("source"), column(size).alias("size"))
+    whole, row = numbered(ws, docs)
+    sizes = whole.select(column(row).alias("row"), column(id_col).alias("doc_id"), column(source_col).cast("string").alias("source"), _size(text_col).alias("size"))
+    sizes = ws.table(sizes, "sizes")
     plan = _planned(ws, sizes, weights, limit, corrections).where("copies > 0")
     times, nth = unused_name(whole, "times"), unused_name(whole, "nth")
     joined = whole.join(plan.select(F.col("row").alias(row), F.col("copies").alias(times)), row)

@@ -7,7 +7,10 @@ executor never takes the only copy with it.
 
 from __future__ import annotations
 
+import contextlib
+
 import pyarrow.fs as pafs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,17 +38,19 @@ def column(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def numbered(ws: Workspace, docs: DataFrame, **more) -> tuple[DataFrame, list[str]]:
-    """``docs`` written with a number for each row, and with columns of ``more``; and the names of those.
+def numbered(ws: Workspace, docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a column that tells apart rows that are alike in all others, and its name.
 
-    The numbers are fixed by the table, so they tell apart rows that are alike
-    in all columns, whatever is run again later.
+    Rows read from files are known by their file and place in it, so they need
+    not be written again; those of any other table are written with a number.
+    Either is the same whenever the rows are read again.
     """
-    names, out = [], docs
-    for wanted, expression in {"row": F.monotonically_increasing_id(), **more}.items():
-        names.append(unused_name(out, wanted))
-        out = out.withColumn(names[-1], expression)
-    return ws.table(out, "numbered"), names
+    name = unused_name(docs, "row")
+    with contextlib.suppress(AnalysisException):
+        placed = docs.withColumn(name, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")))
+        placed.schema  # noqa: B018  raises where the rows don't come from files
+        return placed, name
+    return ws.table(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:

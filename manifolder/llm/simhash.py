@@ -290,9 +290,13 @@ def keep_representatives(spark: SparkSession, docs: DataFrame, id_col: str = "do
     text = column(text_col).cast("string")
     others = [column(c).alias(f"c{k}") for k, c in enumerate(docs.columns) if c not in (id_col, text_col)]
     other = F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0).cast("long")
-    whole, (row, fp, hashed, rest) = numbered(ws, docs, fp=of_text(text), text_hash=F.xxhash64(text), other_hash=other)
-    place = F.struct(column(id_col).isNull().alias("none"), column(id_col).alias("id"), text.isNotNull().alias("some"), column(hashed).alias("t"), column(rest).alias("o"), column(row).alias("row"))
-    firsts = ws.table(whole.groupBy(column(fp).alias("fp")).agg(F.min(place).alias("first")), "firsts")
+    whole, row = numbered(ws, docs)
+    place = F.struct(
+        column(id_col).isNull().alias("none"), column(id_col).alias("id"), text.isNotNull().alias("some"), F.xxhash64(text).alias("text"),
+        other.alias("other"), column(row).alias("row"),
+    )
+    placed = whole.select(of_text(text).alias("fp"), place.alias("place"))
+    firsts = ws.table(placed.groupBy("fp").agg(F.min("place").alias("first")), "firsts")
     labels = _labels(spark, ws, firsts, distance)
     kept = firsts.join(labels, "fp", "left").groupBy(F.coalesce("label", "fp")).agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
     return whole.join(kept, row, "left_semi").select(*[column(c) for c in docs.columns])
