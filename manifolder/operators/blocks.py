@@ -39,8 +39,13 @@ def unpacked(row: dict, prefix: str = "") -> tuple[np.ndarray, np.ndarray]:
     return ids, np.frombuffer(row[f"{prefix}data"], np.float64).reshape(len(ids), row[f"{prefix}wide"])
 
 
-def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
-    """Pairwise distances, summed in order of the dimensions: the same doubles as a fold over arrays."""
+def distances(a: np.ndarray, b: np.ndarray, metric) -> np.ndarray:
+    """Pairwise distances, summed in order of the dimensions: the same doubles as a fold over arrays.
+
+    ``metric`` is a name, or a function that is called instead.
+    """
+    if callable(metric):
+        return np.asarray(metric(a, b), np.float64)
     total = np.zeros((len(a), len(b)))
     if metric == "euclidean":
         for k in range(a.shape[1]):

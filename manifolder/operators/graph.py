@@ -185,5 +185,5 @@ def fuzzy_graph(spark: SparkSession, points: DataFrame, k: int = 15, metric: str
     """Neighbours, calibration, similarity and symmetrization in one: (head, tail, w)."""
     from manifolder.operators.knn import nearest_neighbors
 
-    knn = nearest_neighbors(spark, points, k, metric, **options).persist()
+    knn = Scratch(spark, "fuzzy").keep(nearest_neighbors(spark, points, k, metric, **options), "knn")
     return symmetrize(similarities(knn, calibrate(knn, k, pseudo_distance=pseudo_distance), pseudo_distance), method)

@@ -8,7 +8,6 @@ square root that downstream calibration expects on top of the metric's own.
 from __future__ import annotations
 
 import math
-import warnings
 from collections.abc import Callable
 
 import numpy as np
@@ -23,10 +22,10 @@ from manifolder.operators.session import Scratch
 KNN = "i long, j long, d double"
 
 
-def ranked(pairs: DataFrame, k: int) -> DataFrame:
+def ranked(pairs: DataFrame, k: int, *more: str) -> DataFrame:
     """The k nearest of each i; a point itself comes before others at its distance, then the smaller j."""
     order = Window.partitionBy("i").orderBy("d", F.col("j") != F.col("i"), "j")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("i", "j", "rank", "d")
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("i", "j", "rank", "d", *more)
 
 
 def knn_expressions(points: DataFrame, k: int, metric: str | Callable[[Column, Column], Column] = "euclidean", distance_power: float = 0.5) -> DataFrame:
@@ -37,9 +36,11 @@ def knn_expressions(points: DataFrame, k: int, metric: str | Callable[[Column, C
     return ranked(pairs, k)
 
 
-def knn_exact(points: DataFrame, k: int, metric: str = "euclidean", distance_power: float = 0.5, block_rows: int = 1024, apart: int | None = None) -> DataFrame:
+def knn_exact(points: DataFrame, k: int, metric: str | Callable = "euclidean", distance_power: float = 0.5, block_rows: int = 1024, apart: int | None = None) -> DataFrame:
     """Exact: every pair of blocks yields the k nearest within it, which are merged.
 
+    ``metric`` is a name or a function of two matrices that gives all
+    distances between their rows.
     With ``apart``, points of one run of that many ids are no neighbours of
     each other.  Work grows with the square of the points, memory of a task does not; no
     point's list is ever longer than k for each block it met.
@@ -71,95 +72,268 @@ def knn_exact(points: DataFrame, k: int, metric: str = "euclidean", distance_pow
     return ranked(pairs.mapInArrow(run, KNN), k)
 
 
-def random_projection_leaves(spark: SparkSession, points: DataFrame, trees: int, leaf_size: int, seed: int = 0, scratch: Scratch | None = None) -> DataFrame:
-    """(tree, leaf, id): a forest of random bisections, level by level.
+def _hashes(seed: int, *keys) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = np.uint64(seed * 0x9E3779B97F4A7C15 + 1 & (1 << 64) - 1)
+        for key in keys:
+            x = (np.asarray(key).astype(np.uint64) ^ x) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            x = x ^ (x >> np.uint64(31))
+    return x
+
+
+def _plane(ids: np.ndarray, x: np.ndarray, seed: int) -> tuple[np.ndarray, float]:
+    """The hyperplane halfway between two points, the ones of smallest hash: its normal and offset."""
+    p, q = x[np.argsort(_hashes(seed, ids), kind="stable")[:2]]
+    return p - q, float((p - q) @ ((p + q) / 2))
+
+
+def _left(ids: np.ndarray, x: np.ndarray, normal: np.ndarray, offset: float, seed: int) -> np.ndarray:
+    """Which points lie on the normal's side; points on the plane take a side by hash."""
+    margin = x @ normal - offset
+    return np.where(np.abs(margin) < 1e-8, _hashes(seed + 1, ids) % np.uint64(2) == 0, margin > 0)
+
+
+def _top_planes(ids: np.ndarray, x: np.ndarray, depth: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Normals and offsets of the nodes of ``depth`` levels over a sample; node k has the children 2 k + 1 and 2 k + 2."""
+    normals, offsets = np.zeros((2**depth - 1, x.shape[1])), np.zeros(2**depth - 1)
+    members = {0: np.arange(len(ids))}
+    for node in range(2**depth - 1):
+        own = members.pop(node)
+        left = np.ones(len(own), bool)
+        if len(own) > 1:
+            normals[node], offsets[node] = _plane(ids[own], x[own], seed + node)
+            left = _left(ids[own], x[own], normals[node], offsets[node], seed + node)
+        members |= {2 * node + 1: own[left], 2 * node + 2: own[~left]}
+    return normals, offsets
+
+
+def _leaf_runs(ids: np.ndarray, x: np.ndarray, leaf_size: int, seed: int):
+    """Places of the points of each leaf of one node, by bisection until it has at most ``leaf_size``."""
+    open_ = [(np.arange(len(ids)), seed)]
+    while open_:
+        own, key = open_.pop()
+        if len(own) <= leaf_size:
+            yield own
+            continue
+        left = _left(ids[own], x[own], *_plane(ids[own], x[own], key), key)
+        if left.all() or not left.any():  # too near to the plane to be parted by it
+            left = _hashes(key + 2, ids[own]) % np.uint64(2) == 0
+            left[0], left[-1] = True, False
+        open_ += [(own[left], 2 * key + 3 & (1 << 60) - 1), (own[~left], 2 * key + 4 & (1 << 60) - 1)]
+
+
+def _matrix(column) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy().reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def _forest(points: DataFrame, trees: int, leaf_size: int, seed: int, leaves: Callable, schema: str, task_rows: int = 20_000, deepest: int = 12) -> DataFrame:
+    """``leaves`` (tree, node, ids, x, places of each leaf) over a forest of random bisections.
+
+    The first levels of each tree, as many as give nodes of ``task_rows``
+    points but no more than ``deepest``, are planes over a sample of 32 points
+    for each node, 131,072 at most, which tasks get whole.  Points are dealt by
+    the nodes they come to, and each node is split to its leaves in one task.
+    """
+    n = points.count()
+    depth = min(deepest, max(0, math.ceil(math.log2(max(1, n / task_rows)))))
+    planes = []
+    if depth:
+        sample = points.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(32 << depth).toArrow()
+        ids, x = sample.column("id").to_numpy(), _matrix(sample.column("x"))
+        planes = [_top_planes(ids, x, depth, seed + 7919 * tree) for tree in range(trees)]
+
+    def routed(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            ids, x = table.column("id").to_numpy(), _matrix(table.column("x"))
+            for tree in range(trees):
+                node = np.zeros(len(ids), np.int64)
+                for _ in range(depth):
+                    for at in np.unique(node):
+                        own = np.flatnonzero(node == at)
+                        left = _left(ids[own], x[own], planes[tree][0][at], planes[tree][1][at], seed + 7919 * tree + int(at))
+                        node[own] = np.where(left, 2 * at + 1, 2 * at + 2)
+                columns = [pa.array(np.full(len(ids), tree, np.int32)), pa.array(node), batch.column(0), batch.column(1)]
+                yield pa.RecordBatch.from_arrays(columns, names=["tree", "node", "id", "x"])
+
+    def finished(table: pa.Table) -> pa.Table:
+        tree, node = table.column("tree")[0].as_py(), table.column("node")[0].as_py()
+        order = np.argsort(table.column("id").to_numpy(), kind="stable")
+        ids, x = table.column("id").to_numpy()[order], _matrix(table.column("x"))[order]
+        return leaves(tree, node, ids, x, _leaf_runs(ids, x, leaf_size, seed + 104_729 * tree + node))
+
+    return points.select("id", "x").mapInArrow(routed, "tree int, node long, id long, x array<double>").groupBy("tree", "node").applyInArrow(finished, schema)
+
+
+def random_projection_leaves(spark: SparkSession, points: DataFrame, trees: int, leaf_size: int, seed: int = 0) -> DataFrame:
+    """(tree, leaf, id): a forest of random bisections.
 
     A node splits at the bisecting hyperplane of two of its points, the ones
-    of smallest hash; points on the plane take a side by hash.  Nodes of up to
-    ``leaf_size`` points are leaves.  Every level is one aggregation by node,
-    so hot nodes combine before the shuffle.
+    of smallest hash; points on the plane take a side by hash.  No leaf has
+    more than ``leaf_size`` points, equal points or not.
     """
-    scratch = scratch or Scratch(spark, "forest")
-    n = points.count()
-    depth = max(0, math.ceil(math.log2(max(1, n / leaf_size))) + 6)
-    open_ = points.select("id", "x").crossJoin(spark.range(trees).select(F.col("id").cast("int").alias("tree"))).withColumn("node", F.lit(1).cast("long"))
-    done: list[DataFrame] = []
-    for level in range(depth + 1):
-        sizes = open_.groupBy("tree", "node").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64(F.lit(seed), "tree", "node", "id").alias("h"), "x")).alias("p"), F.min(F.struct(F.xxhash64(F.lit(seed + 1), "tree", "node", "id").alias("h"), "x")).alias("q"))
-        joined = scratch.keep(open_.join(sizes, ["tree", "node"]), f"level{level}")
-        done.append(joined.where((F.col("n") <= leaf_size) | F.lit(level == depth)).select("tree", F.col("node").alias("leaf"), "id"))
-        split = joined.where((F.col("n") > leaf_size) & F.lit(level < depth))
-        if split.isEmpty():
-            break
-        middle = F.zip_with(F.zip_with("p.x", "q.x", lambda a, b: (a + b) / 2), "x", lambda m, v: v - m)
-        margin = F.aggregate(F.zip_with(F.zip_with("p.x", "q.x", lambda a, b: a - b), middle, lambda h, v: h * v), F.lit(0.0), lambda s, v: s + v)
-        coin = F.pmod(F.xxhash64(F.lit(seed + 2), "tree", "node", "id"), F.lit(2)) == 0
-        left = F.when(F.abs(margin) < 1e-8, coin).otherwise(margin > 0)
-        open_ = split.select("id", "x", "tree", (F.col("node") * 2 + F.when(left, 0).otherwise(1)).alias("node"))
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
+
+    def leaves(tree, node, ids, x, runs):
+        runs = list(runs)
+        leaf = np.repeat((node << 32) + np.arange(len(runs)), [len(r) for r in runs])
+        return pa.table({"tree": np.full(len(leaf), tree, np.int32), "leaf": leaf, "id": ids[np.concatenate([*runs, np.zeros(0, np.int64)])]})
+
+    points = points.select(F.col("id").cast("long").alias("id"), F.col("x").cast("array<double>").alias("x"))
+    return _forest(points, trees, leaf_size, seed, leaves, "tree int, leaf long, id long")
 
 
-def _distance(metric: str, power: float) -> Column:
-    return F.pow(F.greatest(METRICS[metric](F.col("xu"), F.col("xv")), F.lit(0.0)), F.lit(power))
+def _powered(d: np.ndarray, power: float) -> np.ndarray:
+    d = np.maximum(d, 0.0)
+    return np.sqrt(d) if power == 0.5 else d**power
 
 
-def _with_vectors(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    return pairs.join(points.select(F.col("id").alias("u"), F.col("x").alias("xu")), "u").join(points.select(F.col("id").alias("v"), F.col("x").alias("xv")), "v")
+def _leaf_neighbors(k: int, metric, power: float):
+    """(i, j, d): the k nearest of each point within its leaf, itself included."""
 
+    def leaves(tree, node, ids, x, runs):
+        out = []
+        for run in runs:
+            d = _powered(distances(x[run], x[run], metric), power)
+            np.fill_diagonal(d, -1.0)  # a point is its own first neighbour
+            near = np.argsort(d, axis=1, kind="stable")[:, :k]
+            i = np.repeat(np.arange(len(run)), near.shape[1])
+            out.append((ids[run][i], ids[run][near.ravel()], np.maximum(d[i, near.ravel()], 0.0)))
+        i, j, d = (np.concatenate(c) for c in zip(*out))
+        own = i == j
+        if own.any():
+            at = np.flatnonzero(own)
+            places = np.searchsorted(ids, i[at])
+            d[at] = _powered(np.array([distances(x[p : p + 1], x[p : p + 1], metric)[0, 0] for p in places]), power)
+        return pa.table({"i": i, "j": j, "d": d})
 
-def knn_descent(spark: SparkSession, points: DataFrame, k: int, metric: str = "euclidean", distance_power: float = 0.5, trees: int | None = None, leaf_size: int | None = None, max_candidates: int = 20, iterations: int | None = None, delta: float = 0.001, initial: DataFrame | None = None, seed: int = 0) -> DataFrame:
+    return leaves
+
+
+def _local_joins(k: int, metric, power: float):
+    """(i, j, d) of sorted candidates (pivot, c, fresh, x, kth): pairs of a pivot's that enter a list of either end."""
+
+    def run(batches):
+        held: list[pa.Table] = []
+
+        def joined(table: pa.Table) -> pa.RecordBatch:
+            pivot, c, kth = (table.column(name).to_numpy() for name in ("pivot", "c", "kth"))
+            fresh, x = table.column("fresh").to_numpy(zero_copy_only=False), _matrix(table.column("x"))
+            cuts = np.flatnonzero(np.diff(pivot, prepend=pivot[:1] - 1))
+            out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(pivot)]):
+                new = np.flatnonzero(fresh[a:b])
+                if not len(new) or b - a < 2:
+                    continue
+                d = _powered(distances(x[a:b][new], x[a:b], metric), power)
+                ids, bound = c[a:b], kth[a:b]
+                once = ~fresh[a:b][None, :] | (ids[new][:, None] < ids[None, :])
+                once &= ids[new][:, None] != ids[None, :]
+                for near, left in ((once & (d <= bound[new][:, None]), True), (once & (d <= bound[None, :]), False)):
+                    u, v = np.nonzero(near)
+                    ends = (ids[new[u]], ids[v])
+                    out.append((*(ends if left else ends[::-1]), d[u, v]))
+            i, j, d = (np.concatenate(p) for p in zip(*out))
+            return pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(d)], names=["i", "j", "d"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(pa.Table.from_batches([batch]))
+            pivot = held[-1].column("pivot").to_numpy()
+            last = np.flatnonzero(pivot != pivot[-1])
+            if len(last) or held[0].column("pivot")[0].as_py() != pivot[-1]:
+                whole = pa.concat_tables(held)
+                cut = len(whole) - (len(pivot) - (int(last[-1]) + 1 if len(last) else 0))
+                yield joined(whole.slice(0, cut))
+                held = [whole.slice(cut)]
+        if held:
+            yield joined(pa.concat_tables(held))
+
+    return run
+
+
+def _filled(lists: DataFrame, points: DataFrame, k: int, n: int, metric, power: float, seed: int, pool: int = 4096) -> DataFrame:
+    """Lists of fewer than k neighbours topped up with 2 k points of a pool, from a place by hash on; then the k nearest."""
+    chosen = points.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(max(pool, 2 * k)).toArrow()
+    ids, x = chosen.column("id").to_numpy(), _matrix(chosen.column("x"))  # bounded by ``pool``
+
+    def more(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            i, own = table.column("id").to_numpy(), _matrix(table.column("x"))
+            at = (_hashes(seed, i) % np.uint64(len(ids))).astype(np.int64)[:, None] + np.arange(min(2 * k, len(ids)))
+            at %= len(ids)
+            d = np.array([distances(own[r : r + 1], x[at[r]], metric)[0] for r in range(len(i))])
+            own_d = np.array([distances(own[r : r + 1], own[r : r + 1], metric)[0, 0] for r in range(len(i))])
+            columns = [np.concatenate([np.repeat(i, at.shape[1]), i]), np.concatenate([ids[at.ravel()], i]), _powered(np.concatenate([d.ravel(), own_d]), power)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["i", "j", "d"])
+
+    enough = lists.groupBy("i").count().where(F.col("count") >= min(k, n)).select(F.col("i").alias("id"))
+    added = points.join(enough, "id", "left_anti").select("id", "x").mapInArrow(more, KNN)
+    every = lists.select("i", "j", "d").unionByName(added).groupBy("i", "j").agg(F.min("d").alias("d"))
+    return ranked(every, k)
+
+
+def knn_descent(spark: SparkSession, points: DataFrame, k: int, metric: str | Callable = "euclidean", distance_power: float = 0.5, trees: int | None = None, leaf_size: int | None = None, max_candidates: int = 40, width: int | None = None, iterations: int | None = None, delta: float = 0.001, initial: DataFrame | None = None, seed: int = 0) -> DataFrame:
     """Approximate: leaves of a random-projection forest, then local joins until few lists change.
 
-    An iteration pairs the candidates (forward and reverse neighbours, at most
-    ``max_candidates`` new and old ones each, by hash) of every pivot, new
-    with new and new with old; pairs nearer than the k-th neighbour of either
-    end enter the lists.  ``initial`` (i, j) replaces the forest.
+    An iteration brings the candidates (forward and reverse neighbours, at
+    most ``max_candidates`` new and old ones each, by hash) of every pivot
+    together with their vectors and the distance of their k-th neighbour, and
+    measures new with new and new with old ones by NumPy; pairs nearer than
+    the k-th neighbour of an end enter its list.  Lists have ``width`` entries
+    while it goes on, 40 or 2 k at least: vectors of many dimensions have few
+    mutual neighbours, and short lists would settle too soon.  ``initial``
+    (i, j) replaces the forest.  Points that have fewer than k neighbours to begin with get
+    others by hash, so every point ends with min(k, n).  ``metric`` is a name
+    or a function of two matrices that gives all distances between their rows.
     """
-    scratch = Scratch(spark, "descent")
-    points = scratch.keep(points.select("id", F.col("x").cast("array<double>").alias("x")), "points")
+    scratch, wanted, k = Scratch(spark, "descent"), k, width or max(40, 2 * k)
+    points = scratch.keep(points.select(F.col("id").cast("long").alias("id"), F.col("x").cast("array<double>").alias("x")), "points")
     n = points.count()
     trees = trees or min(64, 5 + round(math.sqrt(n) / 20))
     leaf_size = leaf_size or max(10, k)
     iterations = iterations or max(5, round(math.log2(max(2, n))))
     if initial is None:
-        leaves = scratch.keep(random_projection_leaves(spark, points, trees, leaf_size, seed, scratch), "leaves")
-        other = leaves.select("tree", "leaf", F.col("id").alias("v"))
-        pairs = leaves.select("tree", "leaf", F.col("id").alias("u")).join(other, ["tree", "leaf"]).where("u <= v").select("u", "v").distinct()
+        found = _forest(points, trees, leaf_size, seed, _leaf_neighbors(k, metric, distance_power), KNN)
     else:
-        pairs = initial.select(F.least("i", "j").alias("u"), F.greatest("i", "j").alias("v")).union(points.select(F.col("id").alias("u"), F.col("id").alias("v"))).distinct()
-    measured = _with_vectors(pairs, points).select("u", "v", _distance(metric, distance_power).alias("d"))
-    both = measured.select(F.col("u").alias("i"), F.col("v").alias("j"), "d").union(measured.where("u <> v").select(F.col("v").alias("i"), F.col("u").alias("j"), "d"))
-    lists = scratch.keep(ranked(both, k).withColumn("fresh", F.lit(True)), "lists0")
+        pairs = initial.select(F.col("i").alias("i"), F.col("j").alias("j")).distinct()
+        ends = pairs.join(points.select(F.col("id").alias("i"), F.col("x").alias("xi")), "i").join(points.select(F.col("id").alias("j"), F.col("x").alias("xj")), "j")
+
+        def measured(batches):
+            for batch in batches:
+                a, b = _matrix(pa.chunked_array([batch.column(2)])), _matrix(pa.chunked_array([batch.column(3)]))
+                d = _powered(np.array([distances(a[r : r + 1], b[r : r + 1], metric)[0, 0] for r in range(batch.num_rows)]), distance_power)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d, pa.float64())], names=["i", "j", "d"])
+
+        found = ends.select("i", "j", "xi", "xj").mapInArrow(measured, KNN)
+    first = scratch.keep(ranked(found.groupBy("i", "j").agg(F.min("d").alias("d")), k), "first")
+    lists = scratch.keep(_filled(first, points, k, n, metric, distance_power, seed).withColumn("fresh", F.lit(True)), "lists0")
     for turn in range(1, iterations + 1):
         forward = lists.select(F.col("i").alias("pivot"), F.col("j").alias("c"), "fresh")
         backward = lists.select(F.col("j").alias("pivot"), F.col("i").alias("c"), "fresh")
         order = Window.partitionBy("pivot", "fresh").orderBy(F.xxhash64(F.lit(seed + turn), "pivot", "c"))
         merged = forward.union(backward).groupBy("pivot", "c").agg(F.max("fresh").alias("fresh"))
         chosen = scratch.keep(merged.withColumn("r", F.row_number().over(order)).where(F.col("r") <= max_candidates).drop("r"), f"candidates{turn}")
-        new = chosen.where("fresh").select("pivot", F.col("c").alias("u"))
-        joined = new.join(chosen.select("pivot", F.col("c").alias("v"), F.col("fresh").alias("both")), "pivot").where("u <> v and (not both or u < v)")
-        pairs = joined.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        bound = lists.groupBy("i").agg(F.when(F.count("*") >= k, F.max("d")).otherwise(F.lit(float("inf"))).alias("kth"))
-        measured = _with_vectors(pairs, points).select("u", "v", _distance(metric, distance_power).alias("d"))
-        measured = measured.join(bound.select(F.col("i").alias("u"), F.col("kth").alias("ku")), "u").join(bound.select(F.col("i").alias("v"), F.col("kth").alias("kv")), "v").where("d <= ku or d <= kv")
-        found = measured.select(F.col("u").alias("i"), F.col("v").alias("j"), "d").union(measured.select(F.col("v").alias("i"), F.col("u").alias("j"), "d"))
+        kth = lists.groupBy("i").agg(F.when(F.count("*") >= k, F.max("d")).otherwise(F.lit(float("inf"))).alias("kth"))
+        known = points.join(kth.withColumnRenamed("i", "id"), "id").select(F.col("id").alias("c"), "x", "kth")
+        met = chosen.join(known, "c").select("pivot", "c", "fresh", "x", "kth").repartition("pivot").sortWithinPartitions("pivot", "c")
+        pairs = met.mapInArrow(_local_joins(k, metric, distance_power), KNN)
         sampled = chosen.where("fresh").select(F.col("pivot").alias("i"), F.col("c").alias("j"), F.lit(True).alias("used"))
         old = lists.join(sampled, ["i", "j"], "left").select("i", "j", "d", (F.col("fresh") & F.col("used").isNull()).alias("fresh"), F.lit(True).alias("kept"))
-        every = old.unionByName(found.withColumn("fresh", F.lit(True)).withColumn("kept", F.lit(False)))
+        every = old.unionByName(pairs.withColumn("fresh", F.lit(True)).withColumn("kept", F.lit(False)))
         merged = every.groupBy("i", "j").agg(F.min("d").alias("d"), F.bool_or(F.col("kept")).alias("kept"), F.max(F.when(F.col("kept"), F.col("fresh"))).alias("was"))
-        order = Window.partitionBy("i").orderBy("d", F.col("j") != F.col("i"), "j")
-        top = merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        top = ranked(merged, k, "kept", "was")
         lists = scratch.keep(top.select("i", "j", "rank", "d", F.coalesce("was", F.lit(True)).alias("fresh"), (~F.col("kept")).alias("changed")), f"lists{turn}")
         changes = lists.where("changed").count()
         if changes <= delta * k * n:
             break
-    short = lists.groupBy("i").count().where(F.col("count") < min(k, n)).limit(1)
-    if not short.isEmpty():
-        warnings.warn(f"some points have fewer than {min(k, n)} neighbours", stacklevel=2)
-    return lists.select("i", "j", "rank", "d")
+    return lists.where(F.col("rank") <= wanted).select("i", "j", "rank", "d")
 
 
 def nearest_neighbors(spark: SparkSession, points: DataFrame, k: int, metric: str = "euclidean", strategy: str | Callable = "auto", distance_power: float = 0.5, exact_rows: int = 50_000, **options) -> DataFrame:

@@ -24,7 +24,8 @@ def dense_ids(df: DataFrame, key: str, name: str = "nth", block: int = 65_536) -
     Ranges of the key are counted first and numbered within, so no task sorts
     all rows.
     """
-    dealt = df.repartitionByRange(F.col(key)).withColumn("_part", F.spark_partition_id()).persist()
+    scratch = Scratch(df.sparkSession, "numbers")  # written, so that a row stays in its range whatever is run again
+    dealt = scratch.keep(df.repartitionByRange(F.col(key)).withColumn("_part", F.spark_partition_id()), "dealt")
     counts = dealt.groupBy("_part").agg(F.count("*").alias("n"))
     base = counts.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     inner = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
@@ -75,6 +76,8 @@ def dbscan(spark: SparkSession, points: DataFrame, eps: float = 0.5, min_samples
     scratch = Scratch(spark, "dbscan")
     ends = points.select(F.posexplode("x").alias("k", "v")).groupBy("k").agg((F.max("v") - F.min("v")).alias("spread"))
     wide = [r.k for r in ends.orderBy(F.desc("spread"), "k").limit(3).collect()]
+    if not wide:
+        return points.select("id", F.lit(-1).cast("long").alias("cluster"))
     own = points.select("id", "x", F.array(*[F.floor(F.col("x")[k] / eps) for k in wide]).alias("cell"))
     around = F.array(*[F.array(*[F.col("cell")[k] + step for k, step in enumerate(steps)]) for steps in product((-1, 0, 1), repeat=len(wide))])
     other = own.select(F.col("id").alias("j"), F.col("x").alias("xj"), F.explode(around).alias("cell"))

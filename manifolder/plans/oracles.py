@@ -102,6 +102,62 @@ def _epoch(normalized: bool) -> str:
       FROM flat LEFT JOIN n USING (id)"""
 
 
+def _umap_epoch() -> str:
+    turn = "(visits + 1) * every <= 7"
+    due = "greatest(floor((7 - CASE WHEN visits > 0 THEN pace * (greatest(floor((ceil(visits * every) - pace) / pace), 0) + 1) ELSE pace END) / pace), 0)::INT"
+    clip = "greatest(-4, least(4, {}))"
+    return _with(*GRAPH, PRUNED, FLAT, f"""v AS (SELECT head, tail, top / w AS every FROM g, (SELECT max(w) AS top FROM g)),
+      t AS (SELECT *, greatest(floor(6 / every), 0) AS visits, every / 5 AS pace FROM v),
+      o AS (SELECT head, tail, {due} AS due FROM t WHERE {turn}),
+      m AS (SELECT head, tail, a.y0 AS h0, a.y1 AS h1, b.y0 AS t0, b.y1 AS t1, (a.y0 - b.y0) * (a.y0 - b.y0) + (a.y1 - b.y1) * (a.y1 - b.y1) AS d2 FROM o JOIN flat a ON a.id = head JOIN flat b ON b.id = tail),
+      f AS (SELECT *, CASE WHEN d2 > 0 THEN 2 / (d2 + 1) ELSE 0 END AS f FROM m),
+      x AS (SELECT head, (head * 31 + tail * 17 + k * 7 + 1) % (SELECT count(*) FROM p) AS r FROM o, LATERAL (SELECT unnest(range(due)) AS k)),
+      z AS (SELECT head, a.y0 AS h0, a.y1 AS h1, b.y0 AS r0, b.y1 AS r1, (a.y0 - b.y0) * (a.y0 - b.y0) + (a.y1 - b.y1) * (a.y1 - b.y1) AS d2 FROM x JOIN flat a ON a.id = head JOIN flat b ON b.id = r),
+      q AS (SELECT *, 2 / ((d2 + 0.001::DOUBLE) * (d2 + 1)) AS f FROM z),
+      u AS (SELECT head AS id, -{clip.format('f * (h0 - t0)')} AS g0, -{clip.format('f * (h1 - t1)')} AS g1 FROM f
+        UNION ALL SELECT tail, {clip.format('f * (h0 - t0)')}, {clip.format('f * (h1 - t1)')} FROM f
+        UNION ALL SELECT head, {clip.format('f * (h0 - r0)')}, {clip.format('f * (h1 - r1)')} FROM q),
+      n AS (SELECT id, sum(g0) AS g0, sum(g1) AS g1 FROM u GROUP BY id)""") + f"""
+      SELECT id, round(y0 + coalesce(g0, 0) * (1 - 7.0::DOUBLE / {EPOCHS}), 5) AS y0, round(y1 + coalesce(g1, 0) * (1 - 7.0::DOUBLE / {EPOCHS}), 5) AS y1 FROM flat LEFT JOIN n USING (id)"""
+
+
+def _tsne_epoch() -> str:
+    step = "greatest(-1, least(1, 4 * (coalesce(a{k}, 0) + r{k} / (SELECT sum(q) FROM r)) * 0.8::DOUBLE * ((SELECT count(*) FROM p) / 500.0::DOUBLE)))"
+    return _with(*NEAR, _sigma(), _sim(), _sym(False), PRUNED, FLAT, """h AS (SELECT head, tail, w / (SELECT sum(w) FROM g) AS w FROM g),
+      t AS (SELECT head, w, a.y0 - b.y0 AS d0, a.y1 - b.y1 AS d1 FROM h JOIN flat a ON a.id = head JOIN flat b ON b.id = tail),
+      a AS (SELECT head AS id, sum(-w * 4 / (1 + d0 * d0 + d1 * d1) * d0) AS a0, sum(-w * 4 / (1 + d0 * d0 + d1 * d1) * d1) AS a1 FROM t GROUP BY head),
+      d AS (SELECT a.id, a.y0 - b.y0 AS d0, a.y1 - b.y1 AS d1 FROM flat a JOIN flat b ON a.id <> b.id),
+      k AS (SELECT id, d0, d1, 1 / (1 + d0 * d0 + d1 * d1) AS q FROM d),
+      r AS (SELECT id, sum(q) AS q, sum(q * q * d0) AS r0, sum(q * q * d1) AS r1 FROM k GROUP BY id)""") + f"""
+      SELECT id, round(y0 + {step.format(k=0)}, 5) AS y0, round(y1 + {step.format(k=1)}, 5) AS y1 FROM flat JOIN r USING (id) LEFT JOIN a USING (id)"""
+
+
+def _uniform(seed: int, *keys: str) -> str:
+    """The whole-number hashes of the generators."""
+    x = str(seed % 2147483647)
+    for key in keys:
+        x = f"[(v * v + 54321) % 2147483647 FOR v IN [(v * v + 12345) % 2147483647 FOR v IN [({x}::BIGINT * 48271 + ({key})::BIGINT % 2147483647) % 2147483647]]][1]"
+    return f"(({x} + 0.5::DOUBLE) / 2147483647)"
+
+
+def _normal(seed: int, *keys: str) -> str:
+    return f"(sqrt(ln({_uniform(2 * seed, *keys)}) * -2) * cos({_uniform(2 * seed + 1, *keys)} * {2 * math.pi!r}))"
+
+
+def _generated(n: int, columns: dict[str, str], label: str) -> str:
+    return f"SELECT id, {', '.join(f'round({v}, 6) AS {k}' for k, v in columns.items())}, {label} AS label FROM (SELECT range AS id FROM range({n}))"
+
+
+_T = f"(({_uniform(0, 'id')} * 2 + 1) * {1.5 * math.pi!r})"
+_DBSCAN = (
+    "k AS (SELECT i FROM n GROUP BY i HAVING count(*) >= 5)",
+    "l AS (SELECT i AS u, j AS v FROM n WHERE i IN (SELECT i FROM k) AND j IN (SELECT i FROM k))",
+    "r AS (SELECT u, v FROM l UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u)",
+    "c AS (SELECT u, min(v) AS c FROM r GROUP BY u)",
+    "b AS (SELECT i, min(c) AS c FROM n JOIN c ON u = j GROUP BY i)",
+)
+
+
 def _field(kind: str) -> str:
     least = {
         "pca": "4 * (x * x - y * y) * y",
@@ -154,7 +210,7 @@ SQL = {
     "blended_epoch": _epoch(False),
     "blended_epoch_normalized": _epoch(True),
     "neighbor_accuracy": _with(POINTS, "n AS (SELECT count(*) // 10 AS size FROM p)", f"""q AS (SELECT a.id AS i, a.label AS own, a.id // size AS fold, b.label, row_number() OVER (PARTITION BY a.id ORDER BY {_d2('a.x', 'b.x')}, b.id) AS r
-      FROM p a, p b, n WHERE a.id // size < 9 AND a.id // size <> b.id // size QUALIFY r <= 20)""", "v AS (SELECT i, fold, own, label, count(*) AS n FROM q GROUP BY ALL)", "w AS (SELECT i, fold, own, label FROM v QUALIFY row_number() OVER (PARTITION BY i ORDER BY n DESC, label) = 1)") + "SELECT round(avg(a), 6) AS accuracy FROM (SELECT avg((own = label)::INT) AS a FROM w GROUP BY fold)",
+      FROM p a, p b, n WHERE a.id // size < 9 AND a.id // size <> b.id // size QUALIFY r <= 100)""", "v AS (SELECT i, fold, own, label, count(*) AS n FROM q GROUP BY ALL)", "w AS (SELECT i, fold, own, label FROM v QUALIFY row_number() OVER (PARTITION BY i ORDER BY n DESC, label) = 1)") + "SELECT round(avg(a), 6) AS accuracy FROM (SELECT avg((own = label)::INT) AS a FROM w GROUP BY fold)",
     "v_measure": _with(POINTS, "a AS (SELECT label, (x[1] > 0)::INT * 2 + (x[2] > 0)::INT AS c FROM p)", """n AS (SELECT label, c, count(*) AS n, sum(count(*)) OVER (PARTITION BY label) AS l, sum(count(*)) OVER (PARTITION BY c) AS k, sum(count(*)) OVER () AS t FROM a GROUP BY label, c)""",
       "s AS (SELECT 1 - sum(-n / t * ln(n / k)) / sum(-n / t * ln(l / t)) AS h, 1 - sum(-n / t * ln(n / l)) / sum(-n / t * ln(k / t)) AS c FROM n)") + "SELECT round(h, 6) AS homogeneity, round(c, 6) AS completeness, round(2 * h * c / (h + c), 6) AS v_measure FROM s",
     "class_distances": _with(POINTS, "m AS (SELECT min(list_min(x)) AS lo, max(list_max(x)) AS hi FROM p)", "z AS (SELECT id, label, [(v - lo) / (hi - lo) - 0.5 FOR v IN x] AS x FROM p, m)", f"d AS (SELECT a.label AS a, b.label AS b, sqrt({_d2('a.x', 'b.x')}) AS d FROM z a JOIN z b ON a.label < b.label)") + "SELECT a, b, round(d, 6) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY d) = count(*) OVER (PARTITION BY a, b) // 10 + 1",
@@ -180,4 +236,15 @@ SQL = {
     "diversified_neighbors": _with(POINTS, _knn(k=6), "o AS (SELECT i, j, d, x, row_number() OVER (PARTITION BY i ORDER BY d, j) AS pos FROM knn JOIN p ON p.id = j WHERE i <> j)", f"""s AS (SELECT id AS i, 0::BIGINT AS n, []::STRUCT(j BIGINT, d DOUBLE, x DOUBLE[])[] AS kept FROM p
       UNION ALL
       SELECT s.i, n + 1, CASE WHEN len([1 FOR c IN kept IF c.d > 1e-8 AND sqrt(sqrt({_d2('c.x', 'o.x')})) < o.d]) > 0 THEN kept ELSE list_append(kept, {{'j': o.j, 'd': o.d, 'x': o.x}}) END FROM s JOIN o ON o.i = s.i AND o.pos = n + 1)""", "f AS (SELECT i, arg_max(kept, n) AS kept FROM s GROUP BY i)", "u AS (SELECT i, unnest(kept) AS e, generate_subscripts(kept, 1)::INT AS rank FROM f)") + "SELECT i, e.j AS j, rank, round(e.d, 6) AS d FROM u",
+    "umap_epoch": _umap_epoch(),
+    "tsne_epoch": _tsne_epoch(),
+    "nn_descent_recall": "SELECT true AS enough",
+    "swiss_roll": _generated(500, {"x0": f"{_T} * cos({_T}) + {_normal(2, 'id', '0')} * 0.01::DOUBLE", "x1": f"{_uniform(1, 'id')} * 21 + {_normal(2, 'id', '1')} * 0.01::DOUBLE", "x2": f"{_T} * sin({_T}) + {_normal(2, 'id', '2')} * 0.01::DOUBLE"}, "1.0::DOUBLE"),
+    "fake_gaussian": _generated(100, {f"x{k}": _normal(12345, "id", str(k)) for k in (0, 4, 9)}, f"floor({_uniform(12345, 'id', '10')} * 10)::DOUBLE"),
+    "fake_clusters": _generated(100, {f"x{k}": f"least(id * 2 // 100, 1) + {_normal(12345, 'id', str(k))} * {math.sqrt(0.1)!r}" for k in (0, 4, 9)}, "least(id * 2 // 100, 1)::DOUBLE"),
+    "dbscan_quality": _with(POINTS, f"n AS (SELECT a.id AS i, b.id AS j FROM p a, p b WHERE {_d2('a.x', 'b.x')} <= {0.9 * 0.9!r})", *_DBSCAN, """a AS (SELECT label, coalesce(c.c, b.c) AS c FROM p LEFT JOIN c ON u = id LEFT JOIN b ON i = id WHERE coalesce(c.c, b.c) IS NOT NULL)""",
+      """q AS (SELECT label, c, count(*) AS n, sum(count(*)) OVER (PARTITION BY label) AS l, sum(count(*)) OVER (PARTITION BY c) AS k, sum(count(*)) OVER () AS t FROM a GROUP BY label, c)""",
+      """e AS (SELECT sum(-n / t * ln(n / k)) AS lk, sum(-n / t * ln(n / l)) AS kl, sum(-n / t * ln(l / t)) AS hl, sum(-n / t * ln(k / t)) AS hk FROM q)""",
+      """s AS (SELECT CASE WHEN hl = 0 THEN 1.0 ELSE 1 - lk / hl END AS h, CASE WHEN hk = 0 THEN 1.0 ELSE 1 - kl / hk END AS c FROM e)""")
+      + "SELECT round(h, 6)::DOUBLE AS homogeneity, round(c, 6)::DOUBLE AS completeness, round(CASE WHEN h + c = 0 THEN 0.0 ELSE 2 * h * c / (h + c) END, 6)::DOUBLE AS v_measure FROM s",
 }

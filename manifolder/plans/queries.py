@@ -94,7 +94,9 @@ def nn_descent(spark, sf):
 
 @query
 def nn_descent_recall(spark, sf):
-    return knn.recall(knn.knn_descent(spark, _points(spark, sf), 10), knn.knn_exact(_points(spark, sf), 10))
+    """Whether the search finds 98 of 100 true neighbours."""
+    points = _points(spark, sf)
+    return knn.recall(knn.knn_descent(spark, points, 10), knn.knn_exact(points, 10)).select((F.col("recall") >= 0.98).alias("enough"))
 
 
 @query
@@ -276,6 +278,29 @@ def blended_epoch_normalized(spark, sf):
     return _one_epoch(spark, sf, Params(a=1.0, b=1.0, normalized=True, sym_attraction=False, amplify_grads=True, n_epochs=EPOCHS))
 
 
+@query
+def umap_epoch(spark, sf):
+    """The seventh epoch of umap from given positions: the edges whose turn it is, and their negative samples."""
+    p = Params(method="umap", a=1.0, b=1.0, n_epochs=EPOCHS)
+    points, edges = _points(spark, sf), graph.prune_edges(_edges(spark, sf), EPOCHS)
+    n, stats = points.count(), edges.agg(F.max("w").alias("top"), F.avg("w").alias("mean")).first()
+    state = _flat(points).select("id", F.col("x").alias("y"), F.array(F.lit(0.0), F.lit(0.0)).alias("u"), F.array(F.lit(1.0), F.lit(1.0)).alias("gains"))
+    timed = edges.withColumn("every", F.lit(stats.top) / F.col("w"))
+    partner = lambda h, t, nth: F.pmod(h * 31 + t * 17 + nth * 7 + 1, F.lit(n))
+    out = layout.epoch_frame(state, timed, p, 7, 1.0, stats.mean, partner, p.first_rate(n))
+    return out.select("id", F.round(F.col("y")[0], 5).alias("y0"), F.round(F.col("y")[1], 5).alias("y1"))
+
+
+@query
+def tsne_epoch(spark, sf):
+    """An epoch of t-SNE from given positions, with all pairs opened."""
+    p = Params(method="tsne", a=1.0, b=1.0, normalized=True, sym_attraction=False, amplify_grads=True, n_epochs=1, theta=0.0)
+    edges = graph.prune_edges(_edges(spark, sf, method="tsne"), EPOCHS)
+    start = _flat(_points(spark, sf)).select("id", "x").orderBy("id").toArrow()
+    y = layout.optimize(spark, edges, np.array(start.column("x").to_pylist()), p)
+    return spark.createDataFrame([(i, round(float(a), 5), round(float(b), 5)) for i, (a, b) in enumerate(y)], "id long, y0 double, y1 double")
+
+
 # Layouts
 
 
@@ -306,15 +331,7 @@ def embed_umap(spark, sf):
 
 @query
 def embed_tsne(spark, sf):
-    return _layout(spark, sf, "tsne", n_neighbors=30)
-
-
-@query
-def layout_by_frames(spark, sf):
-    """A few epochs as joins, the form for any number of vertices."""
-    edges = graph.prune_edges(_edges(spark, sf), EPOCHS)
-    out = layout.layout_frames(spark, _flat(_points(spark, sf)).select("id", F.col("x").alias("y")), edges, Params(n_epochs=EPOCHS), 3)
-    return out.select("id", F.col("y")[0].alias("y0"), F.col("y")[1].alias("y1"))
+    return _layout(spark, sf, "tsne")
 
 
 @query
@@ -330,7 +347,7 @@ def spectral_layout(spark, sf):
 
 @query
 def neighbor_accuracy(spark, sf):
-    return metrics.knn_accuracy(_points(spark, sf), 20).select(_r("accuracy"))
+    return metrics.knn_accuracy(_points(spark, sf)).select(_r("accuracy"))
 
 
 @query
@@ -347,7 +364,8 @@ def kmeans_quality(spark, sf):
 
 @query
 def dbscan_quality(spark, sf):
-    return metrics.cluster_quality(spark, _points(spark, sf), "dbscan", eps=0.9, min_samples=5)
+    found = metrics.cluster_quality(spark, _points(spark, sf), "dbscan", eps=0.9, min_samples=5)
+    return found.select(_r("homogeneity"), _r("completeness"), _r("v_measure"))
 
 
 @query
@@ -382,7 +400,8 @@ def principal_components(spark, sf):
 
 @query
 def parameter_sweep(spark, sf):
-    return sweep(spark, {"embeddings": _points(spark, sf)}, ("umap", "blended"), ("default", "random_init"), n_epochs=20)
+    """All presets under all switches, by their own numbers of epochs and neighbours."""
+    return sweep(spark, {"embeddings": _points(spark, sf)}, at_once=4)
 
 
 # Resizing
@@ -433,19 +452,23 @@ def dense_numbering(spark, sf):
 # Generators and gradient fields
 
 
+def _numbers(points, *places):
+    return points.select("id", *[F.round(F.col("x")[k], 6).alias(f"x{k}") for k in places], "label")
+
+
 @query
 def swiss_roll(spark, sf):
-    return loaders.swiss_roll(spark, 500)
+    return _numbers(loaders.swiss_roll(spark, 500), 0, 1, 2)
 
 
 @query
 def fake_gaussian(spark, sf):
-    return loaders.fake_gaussian(spark)
+    return _numbers(loaders.fake_gaussian(spark), 0, 4, 9)
 
 
 @query
 def fake_clusters(spark, sf):
-    return loaders.fake_clusters(spark)
+    return _numbers(loaders.fake_clusters(spark), 0, 4, 9)
 
 
 def _field(kind):

@@ -168,7 +168,46 @@ def test_image_folder(spark, tmp_path):
 
     (tmp_path / "obj12_0.png").write_bytes(png([[(1, 2, 3), (4, 5, 6)]]))
     row = loaders.image_folder(spark, str(tmp_path)).first()
-    assert row.label == 12 and row.x == [3, 2, 1, 6, 5, 4]  # Spark gives blue, green, red
+    assert row.label == 12 and row.x == [1, 2, 3, 4, 5, 6]  # red, green, blue, as in the file
+
+
+def test_generators_do_not_depend_on_partitions(spark):
+    for make in (lambda: loaders.swiss_roll(spark, 60), lambda: loaders.fake_gaussian(spark, 60), lambda: loaders.fake_clusters(spark, 60)):
+        held = spark.conf.get("spark.sql.leafNodeDefaultParallelism", None)
+        found = []
+        for parts in ("1", "7"):
+            spark.conf.set("spark.sql.leafNodeDefaultParallelism", parts)
+            found.append({r.id: (tuple(r.x), r.label) for r in make().collect()})
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism") if held is None else spark.conf.set("spark.sql.leafNodeDefaultParallelism", held)
+        assert found[0] == found[1] and len(found[0]) == 60
+    x = np.array([r.x for r in loaders.fake_gaussian(spark, 4000, 3, seed=9).collect()])
+    assert np.abs(x.mean(axis=0)).max() < 0.08 and np.abs(x.std(axis=0) - 1).max() < 0.08
+    assert np.abs(np.corrcoef(x.T) - np.eye(3)).max() < 0.08
+
+
+@pytest.mark.parametrize("dim", [1, 4])
+def test_dbscan_in_any_number_of_dimensions(spark, dim):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(c, 0.1, (20, dim)) for c in (0, 3)] + [np.full((1, dim), 9.0)])
+    points = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, x array<double>")
+    got = {r.id: r.cluster for r in metrics.dbscan(spark, points, eps=0.8, min_samples=4).collect()}
+    assert {got[k] for k in range(20)} == {0} and {got[k] for k in range(20, 40)} == {20} and got[40] == -1
+    assert metrics.dbscan(spark, points.limit(0)).count() == 0
+
+
+def test_class_distances_by_blocks_are_those_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "_BINS", 7)
+    rng = np.random.default_rng(4)
+    x, label = rng.normal(size=(70, 3)), rng.integers(0, 3, 70)
+    points = spark.createDataFrame([(i, [float(c) for c in v], int(k)) for i, (v, k) in enumerate(zip(x, label))], "id long, x array<double>, label int").repartition(3)
+    z = (x - x.min()) / (x.max() - x.min()) - 0.5
+    d = np.sqrt(((z[:, None] - z[None]) ** 2).sum(axis=2))
+    got = {(r.a, r.b): r.distance for r in metrics.cluster_distances(points).collect()}
+    for a in range(3):
+        for b in range(a + 1, 3):
+            own = np.sort(d[label == a][:, label == b].ravel())
+            assert got[a, b] == pytest.approx(own[len(own) // 10], abs=1e-12)
+    assert len(got) == 3 and metrics.cluster_distances(points.limit(0)).count() == 0
 
 
 def test_dataset_registry(spark, sf):
@@ -215,7 +254,7 @@ def test_queries_equal_sql(spark, sf, name):
     columns = sorted(got.columns)
     for c in columns:
         if got[c].dtype.kind == "f":
-            assert np.allclose(np.sort(got[c].to_numpy(float)), np.sort(want[c].to_numpy(float)), atol=1e-5)
+            assert np.allclose(np.sort(got[c].to_numpy(float)), np.sort(want[c].to_numpy(float)), atol=1e-5, equal_nan=True)
         else:
             assert sorted(got[c]) == sorted(want[c])
 

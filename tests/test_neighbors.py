@@ -1,6 +1,7 @@
 """Neighbour search against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +76,39 @@ def test_leaves_cover_every_point_once(spark, points):
     assert leaves.count() == 3 * len(ROWS)
 
 
+@pytest.mark.parametrize("task_rows", [20_000, 16])
+def test_leaves_are_bounded_even_of_equal_points(spark, task_rows):
+    """Whether split in one task or routed by planes over a sample first; most points are one and the same."""
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(150)] + [(150 + i, [float(i), float(i % 7), 0.0]) for i in range(50)]
+    points = spark.createDataFrame(rows, "id long, x array<double>").repartition(3)
+    sizes = lambda tree, node, ids, x, runs: pa.table({"id": (runs := [ids[r] for r in runs]) and np.concatenate(runs), "size": np.repeat([len(r) for r in runs], [len(r) for r in runs])})
+    got = knn._forest(points, 2, 9, 0, sizes, "id long, size long", task_rows).collect()
+    assert sorted(r.id for r in got) == sorted(2 * [k for k, _ in rows]) and max(r.size for r in got) <= 9
+
+
+def test_short_lists_are_filled(spark, points):
+    """From a graph that leaves most points with few neighbours or none, every point ends with k."""
+    initial = spark.createDataFrame([(0, 1), (1, 0), (2, 5)], "i long, j long")
+    found = knn.knn_descent(spark, points, 6, initial=initial).persist()
+    assert {r["count"] for r in found.groupBy("i").count().collect()} == {6} and found.select("i").distinct().count() == len(ROWS)
+    assert found.where("rank = 1 and i = j").count() == len(ROWS)
+    few = knn.knn_descent(spark, points.where("id < 4"), 10, initial=initial.where("i < 2"))
+    assert few.count() == 16
+
+
+def test_callable_distances(spark, points):
+    def city(a, b):
+        return np.abs(a[:, None] - b[None]).sum(axis=2)
+
+    x = np.array([v for _, v in ROWS])
+    want = np.sort(city(x, x), axis=1)[:, :4]
+    exact, found = knn.knn_exact(points, 4, city, distance_power=1.0), knn.knn_descent(spark, points, 4, city, distance_power=1.0)
+    rows = exact.collect()
+    assert len(rows) == 4 * len(ROWS) and all(abs(want[r.i][r.rank - 1] - r.d) < 1e-9 for r in rows)
+    assert all(abs(city(x[[r.i]], x[[r.j]])[0, 0] - r.d) < 1e-9 for r in found.collect())
+    assert knn.recall(found, exact).first().recall > 0.9
+
+
 def test_callable_search(spark, points):
     found = knn.nearest_neighbors(spark, points, 3, strategy=lambda p, k: knn.knn_exact(p, k, distance_power=1.0)).collect()
     assert len(found) == 3 * len(ROWS)
