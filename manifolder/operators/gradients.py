@@ -8,6 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from manifolder.functions.random import normal
+from manifolder.operators.metrics import dense_ids
+from manifolder.operators.resample import stride_sample
 
 def linear_progression(spark: SparkSession, n: int, low: float, high: float, name: str) -> DataFrame:
     """(place, value): n evenly spaced values from ``low`` to ``high``."""
@@ -30,6 +33,33 @@ def pairwise_squared(points: DataFrame) -> DataFrame:
     return a.crossJoin(b).select("i", "j", squared_distance(F.col("xi"), F.col("xj")).alias("d2"))
 
 
+def distance_array(points: DataFrame) -> DataFrame:
+    """(place, value): squares of squared distances of pairs of unequal vectors, each pair once, in ascending order."""
+    pairs = pairwise_squared(points).where("i < j and d2 > 0").select((F.col("d2") * F.col("d2")).alias("value"), "i", "j")
+    numbered = dense_ids(pairs.withColumn("key", F.struct("value", "i", "j")), "key", "place")
+    return numbered.select("place", "value")
+
+
+def random_points(spark: SparkSession, n: int, dim: int, seed: int = 0) -> DataFrame:
+    """(id, x): standard normal vectors."""
+    return spark.range(n).select("id", F.array(*[normal(seed, F.col("id"), F.lit(k)) for k in range(dim)]).alias("x"))
+
+
+def random_distances(spark: SparkSession, n: int, dim: int = 2, seed: int = 0) -> DataFrame:
+    """:func:`distance_array` of ``n`` standard normal vectors, as low-dimensional layouts have them."""
+    return distance_array(random_points(spark, n, dim, seed))
+
+
+def gaussian_distances(spark: SparkSession, n: int, high: int, low: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Low- and high-dimensional distances of normal vectors, drawn apart."""
+    return random_distances(spark, n, low, seed + 1), random_distances(spark, n, high, seed)
+
+
+def sampled_distances(points: DataFrame, n: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Low-dimensional random distances, and those of points (images, say) at an even stride."""
+    return random_distances(points.sparkSession, n, 2, seed), distance_array(stride_sample(points, n).select("id", "x"))
+
+
 def centered(pairs: DataFrame) -> DataFrame:
     """(i, j, k): squared distances less the means of their row and column, so that both have mean 0."""
     value = pairs.withColumnRenamed("d2", "v")
@@ -40,6 +70,28 @@ def centered(pairs: DataFrame) -> DataFrame:
     return joined.select("i", "j", (F.col("v") - F.col("ri") - F.col("rj") + F.col("t")).alias("k"))
 
 
+def centered_field(high: DataFrame, low: DataFrame) -> DataFrame:
+    """(x_place, y_place, grad): the gradient of centred kernels over all pairs of entries of two matrices of distances.
+
+    ``high`` and ``low`` are (i, j, d2) over ids 0 .. n - 1.  Columns are the
+    entries of the first in order of distance, rows those of the second, ties
+    by place; a row's factor is the distance at its own number, row by row of
+    the second matrix.  y_place counts from the top.
+    """
+    def entries(pairs: DataFrame, name: str) -> DataFrame:
+        n = F.col("n")
+        flat = centered(pairs).join(pairs, ["i", "j"]).crossJoin(F.broadcast(pairs.agg((F.max("i") + 1).alias("n"))))
+        flat = flat.select((F.col("i") * n + F.col("j")).alias("number"), "d2", "k").withColumn("key", F.struct("d2", "number"))
+        return dense_ids(flat, "key", f"{name}_place").select(f"{name}_place", F.col("k").alias(f"{name}_k"), "number", F.sqrt("d2").alias("d"))
+
+    xs, ys = entries(high, "x"), entries(low, "y")
+    rows = ys.select("y_place", "y_k").join(ys.select(F.col("number").alias("y_place"), "d"), "y_place")
+    grid = xs.select("x_place", "x_k").crossJoin(rows)
+    last = rows.agg(F.max("y_place").alias("last"))
+    grad = (F.col("y_k") - F.col("x_k")) * F.col("d") * -4
+    return grid.crossJoin(F.broadcast(last)).select("x_place", (F.col("last") - F.col("y_place")).alias("y_place"), grad.alias("grad"))
+
+
 def _pca(g: Grid) -> Column:
     return (g.x2 - g.y2) * g.y * 4
 

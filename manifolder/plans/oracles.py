@@ -247,4 +247,18 @@ SQL = {
       """e AS (SELECT sum(-n / t * ln(n / k)) AS lk, sum(-n / t * ln(n / l)) AS kl, sum(-n / t * ln(l / t)) AS hl, sum(-n / t * ln(k / t)) AS hk FROM q)""",
       """s AS (SELECT CASE WHEN hl = 0 THEN 1.0 ELSE 1 - lk / hl END AS h, CASE WHEN hk = 0 THEN 1.0 ELSE 1 - kl / hk END AS c FROM e)""")
       + "SELECT round(h, 6)::DOUBLE AS homogeneity, round(c, 6)::DOUBLE AS completeness, round(CASE WHEN h + c = 0 THEN 0.0 ELSE 2 * h * c / (h + c) END, 6)::DOUBLE AS v_measure FROM s",
+    "gaussian_distances": f"""WITH n AS (SELECT range AS id FROM range(60)),
+      a AS (SELECT id, [{', '.join(_normal(0, 'id', str(k)) for k in range(10))}] AS x, [{', '.join(_normal(1, 'id', str(k)) for k in range(2))}] AS y FROM n),
+      d AS (SELECT a.id AS i, b.id AS j, {_d2('a.x', 'b.x')} AS h, {_d2('a.y', 'b.y')} AS l FROM a JOIN a b ON a.id < b.id),
+      h AS (SELECT h * h AS high, row_number() OVER (ORDER BY h * h, i, j) - 1 AS place FROM d WHERE h > 0),
+      l AS (SELECT l * l AS low, row_number() OVER (ORDER BY l * l, i, j) - 1 AS place FROM d WHERE l > 0)
+      SELECT place, round(low, 5) AS low, round(high, 4) AS high FROM h JOIN l USING (place)""",
+    "point_distances": _with(POINTS, "s AS (SELECT id, x FROM p WHERE id % greatest(1, (SELECT count(*) FROM p) // 50) = 0)", f"d AS (SELECT a.id AS i, b.id AS j, {_d2('a.x', 'b.x')} AS d FROM s a JOIN s b ON a.id < b.id)")
+      + "SELECT row_number() OVER (ORDER BY d * d, i, j) - 1 AS place, round(d * d, 5) AS value FROM d WHERE d > 0",
+    "centered_gradient_field": """WITH n AS (SELECT range AS id, range * range * 0.0131313::DOUBLE + 0.01::DOUBLE AS x, range * range * 0.0070707::DOUBLE + 0.01::DOUBLE AS y FROM range(8)),
+      d AS (SELECT a.id * 8 + b.id AS number, a.id AS i, b.id AS j, (a.x - b.x) * (a.x - b.x) AS h, (a.y - b.y) * (a.y - b.y) AS l FROM n a, n b),
+      k AS (SELECT *, h - avg(h) OVER (PARTITION BY i) - avg(h) OVER (PARTITION BY j) + avg(h) OVER () AS p, l - avg(l) OVER (PARTITION BY i) - avg(l) OVER (PARTITION BY j) + avg(l) OVER () AS q FROM d),
+      x AS (SELECT row_number() OVER (ORDER BY h, number) - 1 AS x_place, p FROM k),
+      y AS (SELECT row_number() OVER (ORDER BY l, number) - 1 AS place, q FROM k)
+      SELECT x_place, 63 - place AS y_place, round(-4 * (q - p) * sqrt(l), 6) + 0.0 AS grad FROM x, y JOIN d ON d.number = y.place""",
 }

@@ -487,6 +487,25 @@ def centered_kernel(spark, sf):
     return kernel.select("i", "j", (F.round("k", 6) + F.lit(0.0)).alias("k"))
 
 
+@query
+def centered_gradient_field(spark, sf):
+    """Over the distances of two rows of eight points on a line."""
+    line = lambda step: spark.range(8).select("id", F.array(F.col("id") * F.col("id") * step + 0.01).alias("x"))
+    field = gradients.centered_field(gradients.pairwise_squared(line(0.0131313)), gradients.pairwise_squared(line(0.0070707)))
+    return field.select("x_place", "y_place", (F.round("grad", 6) + F.lit(0.0)).alias("grad"))
+
+
+@query
+def gaussian_distances(spark, sf):
+    low, high = gradients.gaussian_distances(spark, 60, 10, 2)
+    return high.join(low.withColumnRenamed("value", "low"), "place").select("place", F.round("low", 5).alias("low"), F.round("value", 4).alias("high"))
+
+
+@query
+def point_distances(spark, sf):
+    return gradients.sampled_distances(_points(spark, sf), 50)[1].select("place", _r("value", 5))
+
+
 @query
 def entropy_sigma(spark, sf):
     near = _knn(spark, sf).groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "d"))), lambda e: F.pow(e["d"], F.lit(4.0))).alias("d2"))
