@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from manifolder.functions.vector import METRICS
-from manifolder.operators import knn
+from manifolder.operators import blocks, knn
 from manifolder.operators.blocks import distances
 
 ROWS = [(i, [float(v) for v in x]) for i, x in enumerate(np.random.default_rng(1).normal(size=(120, 5)))] + [(120, [0.0] * 5), (121, [0.0] * 5), (122, [1.0] * 5), (123, [1.0] * 5)]
@@ -144,3 +144,32 @@ def test_mutual_and_recall(spark):
     a = spark.createDataFrame([(0, 1), (1, 0), (1, 2), (2, 0)], "i long, j long")
     assert [tuple(r) for r in knn.mutual(a).collect()] == [(0, 1)]
     assert knn.recall(a.limit(2), a).first().recall == 0.5
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+@pytest.mark.parametrize("shift", [0.0, 1e4])
+def test_bounds_lose_no_neighbor(spark, metric, shift):
+    """Ties of copies, many blocks, vectors far from zero: the lists of all pairs measured."""
+    x = np.round(np.random.default_rng(5).normal(size=(300, 6)), 1) + shift
+    x[100:180] = x[7]
+    rows = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "id long, x array<double>").coalesce(1)
+    d = np.sqrt(np.maximum(knn.distances(x, x, metric), 0.0))
+    want = {(i, int(j)): d[i, j] for i in range(300) for j in np.lexsort((np.arange(300), np.arange(300) != i, d[i]))[:7]}
+    got = {(r.i, r.j): r.d for r in knn.knn_exact(rows, 7, metric, block_rows=64).collect()}
+    assert got == want
+
+
+def test_bounds_leave_most_pairs_unmeasured(monkeypatch):
+    """Before, each pair was measured dimension by dimension."""
+    measured = []
+    monkeypatch.setattr(knn, "pair_distances", lambda a, b, metric, f=knn.pair_distances: measured.append(len(a)) or f(a, b, metric))
+    monkeypatch.setattr(knn, "distances", None)
+    x = np.random.default_rng(6).normal(size=(4000, 8))
+    lists = knn._Lists(np.arange(500), x[:500], 5, "euclidean", 0.5, None)
+    for at in range(0, 4000, 500):
+        lists.meet(np.arange(at, at + 500), x[at : at + 500])
+    assert sum(measured) < 500 * 4000 / 50 and lists.rows().num_rows == 2500
+
+
+def test_one_file_is_dealt_over_all_tasks(spark, points):
+    assert blocks.paired(points.coalesce(1), 16, 32).rdd.getNumPartitions() >= 4
