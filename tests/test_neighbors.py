@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from manifolder.functions.vector import METRICS
 from manifolder.operators import blocks, knn
 from manifolder.operators.blocks import distances
+from manifolder.plans.queries import QUERIES
 
 ROWS = [(i, [float(v) for v in x]) for i, x in enumerate(np.random.default_rng(1).normal(size=(120, 5)))] + [(120, [0.0] * 5), (121, [0.0] * 5), (122, [1.0] * 5), (123, [1.0] * 5)]
 
@@ -173,3 +174,24 @@ def test_bounds_leave_most_pairs_unmeasured(monkeypatch):
 
 def test_one_file_is_dealt_over_all_tasks(spark, points):
     assert blocks.paired(points.coalesce(1), 16, 32).rdd.getNumPartitions() >= 4
+
+
+def test_expressions_measure_the_pairs_that_bounds_leave(spark):
+    """Before, named metrics too were evaluated for all pairs, which were then sorted."""
+    x = np.round(np.random.default_rng(9).normal(size=(250, 3)), 1)
+    rows = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "id long, x array<double>")
+    found, every = knn.knn_expressions(rows, 4), knn.knn_expressions(rows, 4, METRICS["euclidean"])
+    assert sorted(found.collect()) == sorted(every.collect())
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan(found) and "Join Cross" not in plan(found).split("MapInArrow")[0] and "Join Cross" in plan(every)
+
+
+def test_own_search_by_one_coordinate(spark, tmp_path):
+    """knn_callable: pairs that meet in the search aren't rows."""
+    x = np.round(np.random.default_rng(10).normal(size=(90, 2)), 2)
+    spark.createDataFrame([(i, [float(c) for c in v], 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = QUERIES["knn_callable"](spark, str(tmp_path))
+    d = np.sqrt(np.abs(x[:, None, 0] - x[None, :, 0]) ** 2)
+    want = {(i, int(j)) for i in range(90) for j in np.lexsort((np.arange(90), np.arange(90) != i, d[i]))[:4]}
+    assert {(r.i, r.j) for r in found.collect()} == want
+    assert "Join Cross" not in found._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
