@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from manifolder.operators import gradients
 from manifolder.plans.queries import QUERIES
 
 
@@ -13,3 +14,16 @@ def test_centered_kernel_of_all_points(spark, tmp_path):
     want = v - v.mean(axis=1, keepdims=True) - v.mean(axis=0, keepdims=True) + v.mean()
     got = {(r.i, r.j): r.k for r in QUERIES["centered_kernel"](spark, str(tmp_path)).collect()}
     assert len(got) == 75 * 75 and all(abs(got[i, j] - want[i, j]) < 2e-6 for i in range(75) for j in range(75))
+
+
+def test_centered_kernel_is_by_blocks(spark):
+    """Before, each pair was a row that met three tables of means; far from zero the products hold too."""
+    x = np.random.default_rng(4).normal(size=(60, 3)) + 1000
+    points = spark.createDataFrame([(i * 7, [float(c) for c in v]) for i, v in enumerate(x)], "id long, x array<double>")
+    v = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    want = v - v.mean(axis=1, keepdims=True) - v.mean(axis=0, keepdims=True) + v.mean()
+    found = gradients.centered_kernel(points)
+    got = {(r.i, r.j): r.k for r in found.collect()}
+    assert len(got) == 3600 and all(abs(got[i * 7, j * 7] - want[i, j]) < 1e-6 for i in range(60) for j in range(60))
+    long = {(r.i, r.j): r.k for r in gradients.centered(gradients.pairwise_squared(points)).collect()}
+    assert all(abs(got[p] - long[p]) < 1e-6 for p in got)
