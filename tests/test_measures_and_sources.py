@@ -263,3 +263,25 @@ def test_entry(spark):
     df = entry_module.entry(spark)
     assert df.columns == ["head", "tail", "w"] and df.count() > 0
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
+
+
+@pytest.mark.parametrize("gain", [0, 10**9])
+def test_dbscan_by_blocks_and_by_cells(spark, monkeypatch, gain):
+    """Before, dense tables met in a join of all their pairs; distances of exactly eps count on both paths."""
+    monkeypatch.setattr(metrics, "CELLS_GAIN", gain)
+    monkeypatch.setattr(metrics, "paired", lambda points, f=metrics.paired: f(points, 32, 48))
+    rng = np.random.default_rng(8)
+    x = (rng.integers(0, 4, (400, 5)) + 7 * rng.integers(0, 5, (400, 1))) * 0.5
+    near = np.zeros((400, 400))
+    for k in range(5):
+        near += (x[:, None, k] - x[None, :, k]) ** 2
+    near = near <= 0.5
+    core = near.sum(axis=1) >= 6
+    label = np.where(core, np.arange(400), 400)
+    for _ in range(400):
+        label = np.where(core, np.where(near & core[None, :], label[None, :], 400).min(axis=1), 400)
+    label = np.where(core, label, np.where(near & core[None, :], label[None, :], 400).min(axis=1))
+    label = np.where(label == 400, -1, label)
+    assert len(set(label[core])) > 3 and (label[~core] >= 0).any() and (label == -1).any()
+    got = {r.id: r.cluster for r in metrics.dbscan(spark, points_of(spark, [(i, [float(v) for v in r], 0) for i, r in enumerate(x)]), 0.5**0.5, 6).collect()}
+    assert got == dict(enumerate(label.tolist()))
