@@ -195,3 +195,10 @@ def test_own_search_by_one_coordinate(spark, tmp_path):
     want = {(i, int(j)) for i in range(90) for j in np.lexsort((np.arange(90), np.arange(90) != i, d[i]))[:4]}
     assert {(r.i, r.j) for r in found.collect()} == want
     assert "Join Cross" not in found._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+
+
+def test_auto_is_exact_for_more_points(spark, monkeypatch):
+    """Before, 50,001 points went to NN-descent, which takes longer than the bounded search there."""
+    monkeypatch.setattr(knn, "knn_exact", lambda *a, **b: "exact")
+    monkeypatch.setattr(knn, "knn_descent", lambda *a, **b: "descent")
+    assert [knn.nearest_neighbors(spark, spark.range(n), 5) for n in (60_000, 200_001)] == ["exact", "descent"]
